@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import crf, itq, quality_rules, simhash
+from . import crf, itq, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_crf_quality": crf.op1_crf_quality,
     "op2_itq_near_dup": itq.op2_itq_near_dup,
     "op4_ngram_llr": quality_rules.op4_ngram_llr,
+    "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_anchor_simhash": simhash.op8_anchor_simhash,
 }
 
