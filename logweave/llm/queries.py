@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import crf, itq, quality_rules, simhash, toxicity
+from . import crf, itq, packing, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_crf_quality": crf.op1_crf_quality,
     "op2_itq_near_dup": itq.op2_itq_near_dup,
+    "op3_pow2_packing": packing.op3_pow2_packing,
     "op4_ngram_llr": quality_rules.op4_ngram_llr,
     "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_anchor_simhash": simhash.op8_anchor_simhash,
