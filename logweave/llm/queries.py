@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import crf, itq, packing, quality_rules, simhash, toxicity
+from . import crf, itq, mixing, packing, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_crf_quality": crf.op1_crf_quality,
     "op2_itq_near_dup": itq.op2_itq_near_dup,
     "op3_pow2_packing": packing.op3_pow2_packing,
     "op4_ngram_llr": quality_rules.op4_ngram_llr,
+    "op5_entropy_mix": mixing.op5_entropy_mix,
     "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_anchor_simhash": simhash.op8_anchor_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_entropy_mix": mixing.OP5_SQL,
+}
