@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, itq, mixing, packing, quality_rules, simhash, toxicity
+from . import crf, itq, mixing, packing, quality_rules, sharding, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_crf_quality": crf.op1_crf_quality,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_pow2_packing": packing.op3_pow2_packing,
     "op4_ngram_llr": quality_rules.op4_ngram_llr,
     "op5_entropy_mix": mixing.op5_entropy_mix,
+    "op6_ring_shards": sharding.op6_ring_shards,
     "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_anchor_simhash": simhash.op8_anchor_simhash,
+    "op9_url_rules": url_rules.op9_url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_entropy_mix": mixing.OP5_SQL,
+    "op9_url_rules": url_rules.OP9_SQL,
 }
