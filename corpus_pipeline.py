@@ -3,10 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logweave.llm import crf, mixing, packing, quality_rules, simhash
 from logweave.llm.common import cut
 
-STAGES: list = []
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no base rule and no likelihood ratio rejects."""
+    rules = quality_rules.fit(docs, quality_rules.trusted_ids(spark, sf_dir))
+    return quality_rules.judge(docs, rules, prefix="__q_").where("__q_kept").select(*docs.columns)
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the conditional random field, fitted on the labelled ones among them, predicts to be good."""
+    field = crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return crf.classify(docs, field, score_col="__score", keep_from=crf.PREDICT_FROM).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest id, of repeated ids one row; null ids come last.
+
+    Rows are named by their place in the table, which is the same in every scan of it."""
+    row = F.monotonically_increasing_id()
+    key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), row.alias("row"))
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    kept = found.where("kept").select(F.col("doc_id.row").alias("__row"))
+    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two lengths, with digests of their ids."""
+    return packing.pack(docs, emit_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("quality classifier", classifier_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: Hashes, a trained field and a tokenizer: SQL can't express the stages.
 ORACLE_SQL = None
 
 
@@ -16,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs, name.replace(" ", "_"))
+            docs = cut(docs, name.replace(" ", "-"))
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, itq, mixing, packing, quality_rules, sharding, simhash, toxicity, url_rules
+from . import crf, itq, mixing, packing, quality_rules, rollups, sharding, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_crf_quality": crf.op1_crf_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_anchor_simhash": simhash.op8_anchor_simhash,
     "op9_url_rules": url_rules.op9_url_rules,
+    "op10_token_rollups": rollups.op10_token_rollups,
 }
 
 ORACLE_SQL: dict[str, str] = {
