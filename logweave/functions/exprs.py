@@ -106,7 +106,6 @@ def payload_checksum(payload: Column) -> Column:
 
 def fnv1a64(text: Column) -> Column:
     """64-bit FNV-1a of a string's UTF-8 bytes as an unsigned decimal(20); in decimals, as a long would overflow."""
-    wide = lambda x: F.cast(x, "decimal(38,0)") if hasattr(F, "cast") else x.cast("decimal(38,0)")
     prime, modulus = F.expr("cast(1099511628211 as decimal(38,0))"), F.expr("cast(18446744073709551616 as decimal(38,0))")
     codes = F.transform(F.filter(F.split(F.hex(text.cast("binary")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("long"))
 
@@ -175,7 +174,7 @@ def short_id(text: Column, n: int = 8) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    step = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)).cast("double"))), F.lit(4)).cast("int")
+    step = F.least(F.floor(F.log(1024.0, F.greatest(n, F.lit(1)).cast("double"))), F.lit(4)).cast("int")
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1)
     shown = F.when(step == 0, n.cast("string")).otherwise(F.format_string("%.1f", n / F.pow(F.lit(1024.0), step)))
     return F.concat_ws(" ", shown, unit)

@@ -63,6 +63,12 @@ def lifecycle_steps(seen_us: list[int], until_us: int, inactive_us: int, grace_u
 
     ACTIVE at its first activity; SUSPECTED when it has been quiet for inactive_us; DRAINING after grace_us more; ARCHIVED
     after another grace_us. Any activity makes it ACTIVE again. Every transition raises the epoch."""
+    times = sorted(seen_us)
+    return _transitions(list(zip(times, [*times[1:], None], strict=True)), until_us, inactive_us, grace_us)
+
+
+def _transitions(activity: list[tuple[int, int | None]], until_us: int, inactive_us: int, grace_us: int) -> list[tuple[int, str, int]]:
+    """lifecycle_steps() from (time, time of the next activity) pairs; pairs that change nothing may be left out."""
     out: list[tuple[int, str, int]] = []
     state, epoch = None, 0
 
@@ -72,11 +78,10 @@ def lifecycle_steps(seen_us: list[int], until_us: int, inactive_us: int, grace_u
         out.append((at, to, epoch))
         epoch += 1
 
-    ends = sorted(seen_us)
-    for i, at in enumerate(ends):
+    for at, following in activity:
         if state != "ACTIVE":
             move(at, "ACTIVE")
-        quiet_until = ends[i + 1] if i + 1 < len(ends) else until_us + 1
+        quiet_until = until_us + 1 if following is None else following
         for wait, to in ((inactive_us, "SUSPECTED"), (inactive_us + grace_us, "DRAINING"), (inactive_us + 2 * grace_us, "ARCHIVED")):
             if at + wait < quiet_until:
                 move(at + wait, to)
@@ -86,18 +91,20 @@ def lifecycle_steps(seen_us: list[int], until_us: int, inactive_us: int, grace_u
 def lifecycle(activity: DataFrame, until_us: int, inactive_us: int = 300_000_000, grace_us: int = 120_000_000) -> DataFrame:
     """Transitions of all publishers from activity (publisher_id, at_us): an ordered fold per publisher.
 
-    Neighbouring activities closer than inactive_us change nothing, so only the first and last of each busy run go to the
-    fold: a chatty publisher doesn't fill a task."""
+    An activity that follows and is followed by another within inactive_us changes nothing, so only the first and last of
+    each busy run go to the fold: a chatty publisher doesn't fill a task."""
     by = Window.partitionBy("publisher_id").orderBy("at_us")
-    gap = lambda other: F.coalesce(F.abs(F.col("at_us") - other) >= inactive_us, F.lit(True))
-    ends = activity.withColumns({"__a": gap(F.lag("at_us").over(by)), "__b": gap(F.lead("at_us").over(by))}).where("__a or __b")
+    rows = activity.select("publisher_id", "at_us").distinct().withColumns({"before": F.lag("at_us").over(by), "following": F.lead("at_us").over(by)})
+    far = lambda a, b: F.coalesce(b - a >= inactive_us, F.lit(True))
+    ends = rows.where(far(F.col("before"), F.col("at_us")) | far(F.col("at_us"), F.col("following")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = lifecycle_steps(pdf["at_us"].tolist(), until_us, inactive_us, grace_us)
-        rows = [(pdf["publisher_id"].iloc[0], *s) for s in steps]
-        return pd.DataFrame(rows, columns=["publisher_id", "at_us", "state", "epoch"])
+        pdf = pdf.sort_values("at_us")
+        pairs = [(int(a), None if pd.isna(b) else int(b)) for a, b in zip(pdf["at_us"], pdf["following"].astype("Int64"), strict=True)]
+        rows = [(pdf["publisher_id"].iloc[0], *s) for s in _transitions(pairs, until_us, inactive_us, grace_us)]
+        return pd.DataFrame(rows, columns=LIFECYCLE.fieldNames())
 
-    return ends.select("publisher_id", "at_us").groupBy("publisher_id").applyInPandas(fold, LIFECYCLE)
+    return ends.select("publisher_id", "at_us", "following").groupBy("publisher_id").applyInPandas(fold, LIFECYCLE)
 
 
 def latency_summary(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
