@@ -147,8 +147,12 @@ def count_tokens(docs: DataFrame, files: tuple[str, str] | None = None, id_col:
 
 
 def later_copies(counted: DataFrame) -> DataFrame:
-    """The rows whose text a row with a smaller id has too."""
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    """The rows whose text a row with a smaller id has too.
+
+    The table of texts that occur again is written first: the join then deals both its sides itself, so adaptive execution
+    can split a text with very many copies, and texts that occur once take no part in it."""
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first.select("digest", "first"), "first")
     return counted.join(first, "digest").where(F.col("doc_id") > F.col("first"))
 
 
