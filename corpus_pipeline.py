@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import crf, mixing, packing, quality_rules, simhash
-from logweave.llm.common import cut
+from logweave.llm.common import cut, unused
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no base rule and no likelihood ratio rejects."""
     rules = quality_rules.fit(docs, quality_rules.trusted_ids(spark, sf_dir))
-    return quality_rules.judge(docs, rules, prefix="__q_").where("__q_kept").select(*docs.columns)
+    return quality_rules.judge(docs, rules, prefix="__q_").where("__q_kept").drop(*[f"__q_{c}" for c in quality_rules.RESULTS])
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field, fitted on the labelled ones among them, predicts to be good."""
     field = crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return crf.classify(docs, field, score_col="__score", keep_from=crf.PREDICT_FROM).select(*docs.columns)
+    score = unused("__score", docs.columns)
+    return crf.classify(docs, field, score_col=score, keep_from=crf.PREDICT_FROM).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = F.monotonically_increasing_id()
     key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), row.alias("row"))
     found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
-    kept = found.where("kept").select(F.col("doc_id.row").alias("__row"))
-    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").select(*docs.columns)
+    name = unused("__row", docs.columns)
+    kept = found.where("kept").select(F.col("doc_id.row").alias(name))
+    return docs.withColumn(name, row).join(kept, name, "left_semi").drop(name)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

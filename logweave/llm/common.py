@@ -65,6 +65,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, or what comes of it by underscores until no column has it (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def code_point_order(df: DataFrame, col: str) -> Column:
     """UTF-8 byte order is code point order, and Spark compares strings by bytes."""
     return F.col(col).asc_nulls_last()

@@ -55,7 +55,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n_lines, size = int(counts.sum()), len(cp)
     if not size:
-        return np.zeros((n_lines, OWN), np.float32), np.zeros(n_lines), counts
+        own = np.zeros((n_lines, OWN), np.float32)
+        own[:, 13] = 1  # as for any line without a word
+        return own, np.zeros(n_lines), counts
     kind = _classes()[np.minimum(cp, 0xFFFF).astype(np.uint16)]
     ends = np.concatenate([np.flatnonzero(cp == 10), [size]])
     starts = np.concatenate([[0], ends[:-1] + 1])

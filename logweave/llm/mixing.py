@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_point_order, cut, words_of
+from .common import code_point_order, cut, unused, words_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -115,10 +115,11 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """`docs` with each row as often as the mix takes it. Texts are not shuffled: rows meet the table of sources only."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
     rows = cut(rows.withColumn("key", _key(F.col("source"))).withColumn("u", _hash(F.col("doc_id"))), "sizes")
-    rates = plan(rows, targets(rows, weights, cap)).select(F.col("key").alias("__key"), F.struct("whole", "below").alias("__rate"))
-    joined = docs.join(rates, _key(F.col(f"`{source_col}`").cast("string")) == F.col("__key"))
-    n = F.least(F.col("__rate.whole") + (_hash(F.col(f"`{id_col}`")) < F.col("__rate.below")).cast("long"), F.lit(cap).cast("long"))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, rate, copy = (unused(n, docs.columns) for n in ("__key", "__rate", "__copy"))
+    rates = plan(rows, targets(rows, weights, cap)).select(F.col("key").alias(key), F.struct("whole", "below").alias(rate))
+    joined = docs.join(rates, _key(F.col(f"`{source_col}`").cast("string")) == F.col(key))
+    n = F.least(F.col(f"{rate}.whole") + (_hash(F.col(f"`{id_col}`")) < F.col(f"{rate}.below")).cast("long"), F.lit(cap).cast("long"))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_entropy_mix(spark, sf_dir: str) -> DataFrame:

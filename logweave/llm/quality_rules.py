@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, let, sample_by_hash, words_of
+from .common import GAP, let, sample_by_hash, unused, words_of
 
 BUCKETS = 1 << 16
 #: Single words. Held out on 10,000 documents, words alone part junk (all below -0.37) from prose (all above -0.08); words and
@@ -28,6 +28,7 @@ MIN_SCORE = -0.16
 MAX_TRUSTED = 50_000
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
 
 
 @dataclass(frozen=True)
@@ -133,14 +134,15 @@ def judge(docs: DataFrame, rules: Rules, text_col: str = "text", prefix: str = "
 
     A map: rows keep their partition, and repeated rows get the same verdict. Null, empty and blank texts have zero of
     everything and fail the base rules. Columns of `docs` that are named like a result are replaced; `prefix` avoids that."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
-    failed = (F.col("__r.n_words") < MIN_WORDS) | (100 * F.col("__r.n_repeat_words") > 50 * F.col("__r.n_words"))
-    out = [F.col(f"__r.{n}").alias(prefix + n) for n in names]
-    out += [failed.alias(f"{prefix}base_failed"), (~failed & (F.col("__r.score") >= rules.min_score)).alias(f"{prefix}kept")]
-    made = {prefix + n for n in [*names, "base_failed", "kept"]}
+    names = RESULTS[:6]
+    r = unused("__r", docs.columns)
+    failed = (F.col(f"{r}.n_words") < MIN_WORDS) | (100 * F.col(f"{r}.n_repeat_words") > 50 * F.col(f"{r}.n_words"))
+    out = [F.col(f"{r}.{n}").alias(prefix + n) for n in names]
+    out += [failed.alias(f"{prefix}base_failed"), (~failed & (F.col(f"{r}.score") >= rules.min_score)).alias(f"{prefix}kept")]
+    made = {prefix + n for n in RESULTS}
     held = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     # explode, and not a column: Catalyst would compute a column again in each filter that is pushed below it
-    return docs.select("*", F.explode(_row(F.col(text_col), rules)).alias("__r")).select(*held, *out)
+    return docs.select("*", F.explode(_row(F.col(f"`{text_col}`"), rules)).alias(r)).select(*held, *out)
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:

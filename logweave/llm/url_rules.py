@@ -50,7 +50,7 @@ def expansions(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """The distinct URLs of `pages` that have a rule: url, rule string, verdict string.
+    """The distinct URLs of `pages` (null as empty) that have a rule: url, rule string, verdict string.
 
     `rules` has host, path and verdict (block or allow); null hosts, paths or verdicts are no rules, hosts are compared in
     lower case, and a rule that is given twice with both verdicts blocks."""
@@ -63,7 +63,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     known = known.select("rule", "verdict", _digest(F.col("rule")).alias("full"), F.substring(_digest(F.col("rule")), 1, 8).alias("short"))
     if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         known = F.broadcast(known)
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct()
+    urls = pages.select(F.coalesce(F.col(url_col), F.lit("")).alias("url")).distinct()
     found = urls.withColumn("expression", F.explode(expansions(host_of(F.col("url")), path_of(F.col("url")), sorted(lengths) or [0])))
     found = found.select("url", _digest(F.col("expression")).alias("own")).withColumn("short", F.substring("own", 1, 8))
     fits = found.join(known, "short").where(F.col("own") == F.col("full"))
@@ -77,7 +77,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     A null URL and one without :// have an empty host and path and fit no rule but one whose host and path are both
     empty. Repeated rows are judged alike; a null id stays null. Other columns are ignored whatever their names. An
     empty table gives an empty result, an empty rule table the default for all."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     ruled = judge(rows, rules, "url").withColumnRenamed("url", "__url")
     joined = rows.join(ruled, F.col("url") == F.col("__url"), "left")
     return joined.select(
