@@ -419,3 +419,25 @@ def duplicate_components(spark, sf_dir):
   SELECT DISTINCT t AS topic FROM (SELECT t FROM cyc UNION SELECT x.b FROM r x JOIN r y ON x.b = y.a WHERE x.a IN (SELECT t FROM cyc) AND y.b IN (SELECT t FROM cyc))""")
 def pipeline_cycles(spark, sf_dir):
     return Y.cyclic_topics(_components(spark, sf_dir)[0])
+
+
+@query("offload_events")
+def offload_events(spark, sf_dir):
+    """Lifecycle of consumers that fall behind (an ordered fold: no SQL)."""
+    from logweave.operators.offload import offload_events as fold
+
+    log = event_log(spark, sf_dir)
+    lag = F.when(F.col("event_no") % 4 == 0, 0).otherwise(F.col("event_no") % 20_000)
+    full = F.when(F.col("event_no") % 3 == 0, 0.0).otherwise((F.col("event_no") % 10) / 10.0)
+    samples = log.select(F.col("publisher_id").alias("consumer"), "ts", full.alias("fullness"), lag.cast("long").alias("lag"))
+    return fold(samples, 0.5, 6000, 3_600_000_000, 50)
+
+
+@query("chaos_timeline")
+def chaos_timeline(spark, sf_dir):
+    """A seeded timeline of faults against the nodes."""
+    from logweave.sources import chaos
+
+    actions = (chaos.Action("kill", 1.0, 5000), chaos.Action("pause", 2.0, 2000), chaos.Action("delay", 3.0))
+    plan = chaos.Plan(0.5, 600_000, 1000, 2, actions, tuple(f"node-{i:03d}" for i in range(1, 11)))
+    return chaos.timeline_table(spark, plan, seed=11)
