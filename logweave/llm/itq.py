@@ -5,8 +5,11 @@
 3. Every class gets a 64-bit code, cut into `TABLES` substrings. Table t holds each code under its t-th substring and under
    all substrings at one differing bit; two codes whose t-th substrings differ in two bits or fewer meet there. So
    all pairs with up to 3 * TABLES - 1 = 11 differing bits meet for certain, and most others up to `MAX_BITS`.
-4. Pairs that meet are compared by the whole code inside the join, and each is emitted by one table and key only.
-5. Cosine in double precision on the original vectors decides. No pair below the threshold links.
+4. Vectors within half the threshold's angle of a pivot all link with each other, as angles obey the triangle inequality. Such
+   groups are found first and counted, so a dense group of n near copies costs n rows and not n^2 pairs. Pivots are the
+   smallest ids that share a substring with a vector, and in a second round the pivots of those that do.
+5. Other pairs that meet are compared by the whole code inside the join, and each is emitted by one table and key only.
+6. Cosine in double precision on the original vectors decides. No pair below the threshold links.
 
 Growth: a code has 17 rows per table. The pairs that meet by chance grow with n^2 / 2^(64 / TABLES); for corpora far
 above 10^7 vectors use fewer, longer substrings (TABLES = 2) - the number of rows per code stays linear in the bits.
@@ -85,7 +88,7 @@ def learn(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     if not lengths:
         return models
     bound = max(64, min(FIT_ROWS, FIT_VALUES // max(lengths)))
-    sample = sample_by_hash(classes.select("node", "embedding"), "node", bound).select("embedding").toArrow()["embedding"].combine_chunks()
+    sample = sample_by_hash(classes.select("first", "embedding"), "first", bound).select("embedding").toArrow()["embedding"].combine_chunks()
     size = np.array([len(x) for x in sample]) if len(sample) else np.zeros(0, int)
     for d in lengths:
         own = sample.filter(pa.array(size == d))
@@ -114,34 +117,16 @@ def codes(classes: DataFrame, models: dict) -> DataFrame:
     return classes.select("node", "embedding").mapInArrow(run, f"node long, d int, code long, embedding {element}")
 
 
-def candidates(coded: DataFrame) -> DataFrame:
-    """(u, v), u < v: pairs of codes that meet in a table and differ in at most MAX_BITS bits, each once."""
+def _substring(code: str, t: str) -> str:
+    """SQL for the t-th substring of a code."""
     width = BITS // TABLES
-    low = (1 << width) - 1
-    probes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t in range(TABLES) for m in [0, *(1 << b for b in range(width))]])
-    rows = coded.select("node", "d", "code", F.explode(probes).alias("p")).select(
-        "node", "code", F.col("d").alias("d"), F.col("p.t").alias("t"),
-        F.expr(f"(shiftrightunsigned(code, p.t * {width}) & {low}L) ^ p.m").alias("key"),
-    )
-    a = rows.select(F.col("node").alias("u"), F.col("code").alias("x"), "d", "t", "key")
-    b = rows.select(F.col("node").alias("v"), F.col("code").alias("y"), F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("key").alias("key2"))
-    part = lambda code, t: f"(shiftrightunsigned({code}, {t}) & {low}L)"
-    first = " AND ".join(f"(t <= {t} OR bit_count({part('(x ^ y)', t * width)}) > 2)" for t in range(TABLES - 1))
-    here = part("(x ^ y)", f"t * {width}")
-    #: of the keys that both reach, the one whose distance to u's own substring is the lowest differing bit, or nothing
-    only = f"(key ^ {part('x', f't * {width}')}) = CASE WHEN bit_count({here}) = 2 THEN {here} & -{here} ELSE 0L END"
-    on = F.expr(f"d = d2 AND t = t2 AND key = key2 AND u < v AND bit_count(x ^ y) <= {MAX_BITS} AND {only} AND {first}")
-    return a.join(b, on).select("u", "v")
+    return f"(shiftrightunsigned({code}, {t} * {width}) & {(1 << width) - 1}L)"
 
 
-def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v), u < v: classes whose vectors have a cosine of at least `threshold`."""
-    coded = cut(codes(classes, learn(classes)), "codes")
-    one = coded.select(F.col("node").alias("u"), F.col("embedding").alias("a"))
-    two = coded.select(F.col("node").alias("v"), F.col("embedding").alias("b"))
-    pairs = candidates(coded.select("node", "d", "code")).join(one, "u").join(two, "v").select("u", "v", "a", "b")
+def _close(pairs: DataFrame, least: float, held: list[str]) -> DataFrame:
+    """The columns `held` (longs) of the rows whose vectors a and b have a cosine of at least `least`."""
 
-    def rerank(batches):
+    def run(batches):
         for batch in batches:
             n = np.array(batch["a"].value_lengths())
             keep = np.zeros(len(n), dtype=bool)
@@ -149,10 +134,65 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 at = n == d
                 pick = pa.array(at)
                 a, b = unit(_matrix(batch["a"].filter(pick), d)), unit(_matrix(batch["b"].filter(pick), d))
-                keep[at] = (a * b).sum(axis=1) >= threshold
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+                keep[at] = (a * b).sum(axis=1) >= least
+            yield batch.select(held).filter(pa.array(keep))
+
+    return pairs.select(*held, "a", "b").mapInArrow(run, ", ".join(f"{c} long" for c in held))
+
+
+def pivots(coded: DataFrame, threshold: float) -> DataFrame:
+    """node, pivot for the nodes that lie within half the threshold's angle of a pivot other than themselves.
+
+    Nodes of one pivot link pairwise. Every bucket proposes the smallest pivot that its members have, in the first round
+    the smallest of its members; of the pivots that are near enough a node takes the smallest."""
+    half = float(np.cos(np.arccos(np.clip(threshold, -1.0, 1.0)) / 2)) + 1e-9  # the margin covers rounding
+    tables = F.array(*map(F.lit, range(TABLES)))
+    own = coded.select("node", F.col("embedding").alias("a"))
+    other = coded.select(F.col("node").alias("pivot"), F.col("embedding").alias("b"))
+    rows = coded.select("node", "d", "code", F.explode(tables).alias("t")).select("node", "d", "t", F.expr(_substring("code", "t")).alias("key"))
+    found = None
+    for _ in range(2):
+        now = rows.withColumn("has", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("has", F.coalesce("pivot", "node")).drop("pivot")
+        best = cut(now.groupBy("d", "t", "key").agg(F.min("has").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+        tried = rows.join(best, ["d", "t", "key"]).where("pivot <> node").select("node", "pivot").distinct()
+        near = _close(tried.join(own, "node").join(other, "pivot"), half, ["node", "pivot"])
+        if found is not None:
+            near = near.unionByName(found)
+        found = cut(near.groupBy("node").agg(F.min("pivot").alias("pivot")), "pivots")
+    return found
+
+
+def candidates(coded: DataFrame) -> DataFrame:
+    """(u, v), u < v: pairs of codes that meet in a table and differ in at most MAX_BITS bits, each once. `coded` has node, d, code
+    and pivot; pairs of one pivot are left out."""
+    width = BITS // TABLES
+    probes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t in range(TABLES) for m in [0, *(1 << b for b in range(width))]])
+    rows = coded.select("node", "d", "code", "pivot", F.explode(probes).alias("p")).select(
+        "node", "code", "pivot", "d", F.col("p.t").alias("t"), F.expr(f"{_substring('code', 'p.t')} ^ p.m").alias("key")
+    )
+    a = rows.select(F.col("node").alias("u"), F.col("code").alias("x"), F.col("pivot").alias("p"), "d", "t", "key")
+    b = rows.select(
+        F.col("node").alias("v"), F.col("code").alias("y"), F.col("pivot").alias("q"), F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("key").alias("key2")
+    )
+    first = " AND ".join(f"(t <= {t} OR bit_count({_substring('(x ^ y)', str(t))}) > 2)" for t in range(TABLES - 1))
+    here = _substring("(x ^ y)", "t")
+    #: of the keys that both reach, the one whose distance to u's own substring is the lowest differing bit, or nothing
+    only = f"(key ^ {_substring('x', 't')}) = CASE WHEN bit_count({here}) = 2 THEN {here} & -{here} ELSE 0L END"
+    on = F.expr(f"d = d2 AND t = t2 AND key = key2 AND u < v AND p <> q AND bit_count(x ^ y) <= {MAX_BITS} AND {only} AND {first}")
+    return a.join(b, on).select("u", "v")
 
-    return pairs.mapInArrow(rerank, "u long, v long")
+
+def links(classes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Two tables of links between classes: (node, pivot), where the nodes of one pivot link pairwise, a row per node; and
+    (u, v), u < v, of the other pairs with a cosine of at least `threshold`."""
+    coded = cut(codes(classes, learn(classes)), "codes")
+    near = pivots(coded, threshold)
+    grouped = coded.select("node").join(near, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
+    grouped = cut(grouped, "groups")
+    one = coded.select(F.col("node").alias("u"), F.col("embedding").alias("a"))
+    two = coded.select(F.col("node").alias("v"), F.col("embedding").alias("b"))
+    met = candidates(coded.select("node", "d", "code").join(grouped, "node"))
+    return grouped, _close(met.join(one, "u").join(two, "v"), threshold, ["u", "v"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -163,23 +203,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
     lengths with each other; such a row has no links and is its own component. A null vec_id links with nothing, has a null
-    component_id and is not kept. Rows with equal vectors link with each other. An empty table gives an empty result."""
+    component_id and is not kept. Rows with equal vectors link with each other; an id that names several vectors is each of
+    them. An empty table gives an empty result."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     good = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
-    classes = cut(
-        rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "vectors"
-    )
-    found = cut(links(classes, threshold).distinct(), "links")  # ids that name several vectors repeat pairs
-    sizes = classes.groupBy("node").agg(F.sum("size").alias("size"))
+    classes = rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    groups, pairs = links(classes, threshold)
+    found = cut(pairs, "links")
+    sizes = classes.select("node", "size")
     ends = found.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(found.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    beside = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("beside"))
-    roots = cut(connected_components(found), "roots")
-    smallest = roots.groupBy("root").agg(F.min("node").alias("smallest"))
+    across = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("n"))
+    members = cut(groups.join(sizes, "node"), "members")
+    whole = cut(members.groupBy("pivot").agg(F.sum("size").alias("total"), F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "whole")
+    inside = members.join(whole, "pivot")
+    within = inside.select("node", (F.col("total") - F.col("size")).alias("n"))
+    beside = across.unionByName(within).groupBy("node").agg(F.sum("n").alias("beside"))
+    roots = cut(connected_components(found.unionByName(inside.select(F.col("node").alias("u"), F.col("head").alias("v")))), "roots")
+    smallest = roots.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("smallest"))
     component = roots.join(smallest, "root").select("node", "smallest")
     known = classes.join(beside, "node", "left").join(component, "node", "left").select(
         F.col("embedding").alias("vector"),
         (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"),
-        F.coalesce("smallest", "node").alias("component_id"),
+        F.coalesce("smallest", "first").alias("component_id"),
     )
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     linked = rows.where(good).join(known, F.col("embedding") == F.col("vector")).select("vec_id", "n_links", "component_id")
