@@ -52,10 +52,18 @@ def checksum_mismatches(published: DataFrame, received: DataFrame) -> DataFrame:
     return received.join(first, "event_id").where("checksum <> published").select("event_id", "published", F.col("checksum").alias("received"))
 
 
-def ordering_violations(received: DataFrame, per_partition: bool = False) -> DataFrame:
-    """Rows whose number is below that of the row received before, per publisher (and partition if asked)."""
+def ordering_violations(received: DataFrame, per_partition: bool = False, chunk: int = 1 << 18) -> DataFrame:
+    """Rows whose number is below that of the row received before, per publisher (and partition if asked).
+
+    Rows are compared within chunks of lines; the first of a chunk meets the last row of the chunk before, of which there is
+    one per publisher and chunk."""
     by = ["publisher_id", "partition"] if per_partition else ["publisher_id"]
-    rows = received.withColumn("previous_seq", F.lag("seq").over(Window.partitionBy(*by).orderBy("line")))
+    rows = received.withColumn("__chunk", F.expr(f"line div {chunk}"))
+    ends = rows.groupBy(*by, "__chunk").agg(F.max_by("seq", "line").alias("__last"))
+    ends = ends.withColumn("__before", F.lag("__last").over(Window.partitionBy(*by).orderBy("__chunk"))).drop("__last")
+    rows = rows.join(ends, [*by, "__chunk"])
+    within = F.lag("seq").over(Window.partitionBy(*by, "__chunk").orderBy("line"))
+    rows = rows.withColumn("previous_seq", F.coalesce(within, "__before"))
     return rows.where("seq < previous_seq").select("publisher_id", "line", "seq", "previous_seq")
 
 

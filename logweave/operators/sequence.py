@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 STREAM = ("partition", "publisher_id")
 
 
-def missing_ranges(log: DataFrame) -> DataFrame:
-    """partition, publisher_id, missed_start, missed_end (exclusive): runs of missing numbers below the highest one."""
-    rows = log.select(*STREAM, "seq").distinct()
-    before = F.lag("seq", 1, -1).over(Window.partitionBy(*STREAM).orderBy("seq"))
-    rows = rows.withColumn("before", before.cast("long")).where("seq > before + 1")
-    return rows.select(*STREAM, (F.col("before") + 1).alias("missed_start"), F.col("seq").alias("missed_end"))
+def missing_ranges(log: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """partition, publisher_id, missed_start, missed_end (exclusive): runs of missing numbers below the highest one.
+
+    Neighbours are compared within chunks of a stream's numbers, and across chunks from one row per chunk, so a publisher
+    with a large share of all rows is many tasks. Repeated numbers are neighbours without a gap and need no distinct."""
+    rows = log.select(*STREAM, "seq", F.expr(f"seq div {chunk}").alias("chunk"))
+    before = F.lag("seq").over(Window.partitionBy(*STREAM, "chunk").orderBy("seq"))
+    within = rows.withColumn("before", before).where("seq > before + 1").select(*STREAM, "before", "seq")
+    ends = rows.groupBy(*STREAM, "chunk").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"))
+    last = F.lag("last", 1, -1).over(Window.partitionBy(*STREAM).orderBy("chunk")).cast("long")
+    across = ends.withColumn("before", last).where("seq > before + 1").select(*STREAM, "before", "seq")
+    return within.unionByName(across).select(*STREAM, (F.col("before") + 1).alias("missed_start"), F.col("seq").alias("missed_end"))
 
 
 def gaps(log: DataFrame) -> DataFrame:
@@ -48,13 +54,25 @@ def durable(requests: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.select(*[F.col(c) for c in requests.columns], F.coalesce(is_durable, F.lit(False)).alias("durable"))
 
 
-def detect(rows: DataFrame, order: list[Column], checkpoints: DataFrame | None = None) -> DataFrame:
+def detect(rows: DataFrame, order: list[Column], checkpoints: DataFrame | None = None, chunk: Column | None = None) -> DataFrame:
     """`rows` in arrival order with outcome deliver, gap or duplicate, and the missed range of a gap.
 
     Expected is one more than the highest number seen of the stream, 0 at first, or what a checkpoint (partition,
-    publisher_id, seq) says. A late row that fills a gap counts as a duplicate."""
-    w = Window.partitionBy(*STREAM).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("seen", F.max("seq").over(w))
+    publisher_id, seq) says. A late row that fills a gap counts as a duplicate.
+
+    `chunk`, which never falls along `order` (say, the day of arrival), cuts streams into pieces: the running maximum then
+    starts from the maximum of the pieces before, so a stream with a large share of all rows is many tasks."""
+    w = Window.partitionBy(*STREAM) if chunk is None else Window.partitionBy(*STREAM, "__chunk")
+    if chunk is not None:
+        rows = rows.withColumn("__chunk", chunk)
+        tops = rows.groupBy(*STREAM, "__chunk").agg(F.max("seq").alias("__top"))
+        earlier = F.max("__top").over(Window.partitionBy(*STREAM).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.join(tops.withColumn("__before", earlier).drop("__top"), [*STREAM, "__chunk"])
+    seen = F.max("seq").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    if chunk is None:
+        rows = rows.withColumn("seen", seen)
+    else:
+        rows = rows.withColumn("seen", F.greatest(seen, "__before")).drop("__before", "__chunk")
     if checkpoints is not None:
         marks = checkpoints.groupBy(*STREAM).agg(F.max("seq").alias("mark"))
         rows = rows.join(marks, list(STREAM), "left").withColumn("seen", F.greatest("seen", "mark")).drop("mark")

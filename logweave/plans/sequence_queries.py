@@ -68,7 +68,7 @@ D_COLS = ["partition", "publisher_id", "seq", "event_no", "copy", "outcome", "mi
 
 @query("gap_detector", f"WITH {ARRIVALS_SQL}, e AS (SELECT *, coalesce({SEEN} + 1, 0) AS expected FROM arrivals) {DETECT}")
 def gap_detector(spark, sf_dir):
-    return S.detect(arrivals(event_log(spark, sf_dir)), _order()).select(*D_COLS)
+    return S.detect(arrivals(event_log(spark, sf_dir)), _order(), chunk=F.date_trunc("day", "arrival_ts")).select(*D_COLS)
 
 
 @query("gap_detector_checkpoint", f"""WITH {ARRIVALS_SQL}, e AS (SELECT *, coalesce(greatest({SEEN}, CASE WHEN CAST(publisher_id AS INT) % 2 = 0 THEN 7 END) + 1, 0) AS expected
@@ -76,7 +76,7 @@ def gap_detector(spark, sf_dir):
 def gap_detector_checkpoint(spark, sf_dir):
     log = event_log(spark, sf_dir)
     marks = log.where("cast(publisher_id as int) % 2 = 0").select("partition", "publisher_id", F.lit(7).cast("long").alias("seq")).distinct()
-    return S.detect(arrivals(log), _order(), marks).select(*D_COLS)
+    return S.detect(arrivals(log), _order(), marks, F.date_trunc("day", "arrival_ts")).select(*D_COLS)
 
 
 @query("heartbeat_gaps", f"""WITH {LOG_SQL}, c AS (SELECT partition, publisher_id, max(seq) FILTER (seq < 30) AS cur, max(seq) AS beat FROM log GROUP BY ALL)

@@ -82,8 +82,13 @@ def test_watermarks_and_detector_follow_sequential_models(spark):
             e = last.get((part, pub), -1) + 1
             out[at] = ("deliver", None) if seq == e else ("gap", (e, seq)) if seq > e else ("duplicate", None)
             last[(part, pub)] = max(last.get((part, pub), -1), seq)
-        found = {r.at: (r.outcome, (r.missed_start, r.missed_end) if r.outcome == "gap" else None) for r in S.detect(df, [F.col("at")]).collect()}
-        assert found == out
+        for chunk in (None, F.expr("at div 7"), F.expr("at div 1000")):
+            found = {r.at: (r.outcome, (r.missed_start, r.missed_end) if r.outcome == "gap" else None) for r in S.detect(df, [F.col("at")], chunk=chunk).collect()}
+            assert found == out
+        runs = {tuple(r) for r in S.missing_ranges(df).collect()}
+        for chunk in (1, 3, 8):
+            split = {(r.partition, r.publisher_id, r.seq) for r in S.missing_ranges(df, chunk).select("partition", "publisher_id", F.explode(F.sequence("missed_start", F.col("missed_end") - 1)).alias("seq")).collect()}
+            assert split == {(a, b, x) for a, b, c, d in runs for x in range(c, d)}
 
 
 def test_empty_log(spark):
@@ -163,6 +168,19 @@ def test_manifests_from_files(spark, tmp_path):
     assert [r.event_id for r in rows] == ["x", "y"] and A.read_manifests(spark, str(tmp_path)).count() == 3
 
 
+def test_ordering_violations_across_chunks(spark):
+    rng = random.Random(2)
+    rows = [(f"p{rng.randint(0, 2)}", rng.randint(0, 9), line) for line in range(120)]
+    df = spark.createDataFrame(rows, "publisher_id string, seq long, line long")
+    last, want = {}, set()
+    for p, q, line in rows:
+        if p in last and q < last[p]:
+            want.add((p, line, q, last[p]))
+        last[p] = q
+    for chunk in (1, 7, 1000):
+        assert {tuple(r) for r in A.ordering_violations(df, chunk=chunk).collect()} == want
+
+
 def test_slow_consumer_needs_a_sustained_run(spark):
     rows = [("c", s, 0.9 if s != 3 else 0.1, 0) for s in range(8)]
     df = spark.createDataFrame(rows, "consumer string, s int, fullness double, lag long").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0,0,0,s)"))
