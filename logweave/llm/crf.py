@@ -246,6 +246,31 @@ def classify(
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
 
 
+def label_lines(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", good_from: float = 0.5) -> DataFrame:
+    """Every line of every text: doc_id, line int (from 0), start and end int (characters of the text), p_good double, good boolean.
+
+    Null and empty texts are one empty line. Rows without a shuffle, in the order of the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for a, b in text_chunks(texts):
+                own, _, counts = line_features(texts[a:b])
+                p = marginals(sent.value.line_scores(own, counts), counts, sent.value.moves)
+                size = np.array([len(x) for t in texts[a:b] for x in t.split("\n")], dtype=np.int64)
+                first = np.repeat(np.cumsum(counts) - counts, counts)
+                upto = np.cumsum(size + 1) - (size + 1)
+                start = upto - upto[first]
+                of = np.repeat(np.arange(a, b), counts)
+                arrays = [batch["doc_id"].take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (np.arange(len(p)) - first, start, start + size)), pa.array(p), pa.array(p >= good_from)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "line", "start", "end", "p_good", "good"])
+
+    fields = [T.StructField(c, T.IntegerType()) for c in ("line", "start", "end")]
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("p_good", T.DoubleType()), T.StructField("good", T.BooleanType())]))
+
+
 def fold_of(id_col: str, folds: int):
     """crc32 of the id as text modulo `folds`; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -5,10 +5,11 @@ make its target. The dual is convex, and its solution tilts each document's rate
 and Hessian of the dual are sums over all documents; as the tilt is the same for all documents of a source, one
 distributed aggregation of sizes gives them for every step, and the Newton steps of all sources run side by side in the plan.
 
-Rounding: every document gets floor(r) copies, and of each source those documents get one more whose hash lies below the
-source's cutoff. The cutoff is found by counting words per hash digit, one digit a pass (256 bins per source, whatever
-the source's size), so the words taken miss the target by half a document or so. Copies are a function of the id and a
-table with one row per source."""
+Rounding: every document gets floor(r) copies, and of each source those documents get one more whose hash lies below a
+cutoff. There is one cutoff for the source's documents above its mean size, which take their share of the words still due,
+and then one for the others, which take what is left: so the miss is about half a small document. A cutoff is found by
+counting words per hash digit, one digit a pass (256 bins per source, whatever the source's size). Copies are a function
+of a document's id and size and of a table with one row per source."""
 
 from __future__ import annotations
 
@@ -37,24 +38,29 @@ def _hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[int, ...] | dict[str, int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per source of `sizes` (source, size): key, source, source_size long, weight int, target double.
 
-    Sources by code point, null last, take the weights in turn and share all words by them; no target passes `cap` times its
+    `weights` names the weight of each source (others and null have none and are left out), or sources by code point, null
+    last, take the weights in turn. They share all words by weight; no target passes `cap` times its
     source's words, and what is above goes to the others by weight. That is a water level: sources whose cap per weight
     lies below it are capped, the others get the level times their weight. The windows run over one row per source."""
     rank = Window.orderBy(code_point_order(sizes, "source"))
     given = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))
+    if isinstance(weights, dict):
+        weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")], F.lit(0))
+    else:
+        weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))
     given = given.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
-    by = Window.orderBy(F.col("most") / F.col("weight"), code_point_order(given, "source"))
+    by = Window.orderBy(F.try_divide(F.col("most"), F.col("weight")).asc_nulls_last(), code_point_order(given, "source"))
     every = Window.partitionBy()
     below = F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     above = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    given = given.withColumn("level", (F.sum("source_size").over(every) - below) / above)
+    given = given.withColumn("level", F.try_divide(F.sum("source_size").over(every) - below, above))
     first = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.row_number().over(by).alias("n"), "level"))
     given = given.withColumn("level", F.min(first).over(every)["level"])
     target = F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double")))
+    target = F.when(F.col("weight") > 0, target).otherwise(F.lit(0.0))
     return given.select(_key(F.col("source")).alias("key"), "source", "source_size", "weight", target.alias("target"))
 
 
@@ -65,40 +71,62 @@ def tilt(source_size: Column, target: Column) -> Column:
     return F.when((source_size > 0) & (target > 0), solved)
 
 
-def plan(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """Per source: key, source_size, target, whole (copies that all its documents get), below (hash under which one more is due).
+def _big(size: Column) -> Column:
+    """Whether a document is above its source's mean size."""
+    return size * F.col("n") > F.col("source_size")
 
-    `sizes` has key, u (hash) and size per document."""
-    rate = F.coalesce(F.exp(tilt(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0))
-    state = goals.withColumn("whole", F.floor(rate + 1e-9)).select(
-        "key", "source_size", "target", "whole", F.lit(0).cast("long").alias("prefix"),
-        F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)).alias("rest"), F.lit(False).alias("every"),
-    )
-    state = cut(state, "rates")
+
+def _cutoff(sizes: DataFrame, state: DataFrame) -> DataFrame:
+    """Per key of `state` (key, rest): below, the hash under which documents are taken so that their words come nearest to
+    `rest`, and got, those words. `sizes` has key, u and size."""
+    state = state.select("key", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("every"))
     for digit in range(DIGITS):
         low = 8 * (DIGITS - 1 - digit)
         inside = sizes.join(state.where("not every").select("key", "prefix"), "key").where(F.shiftright("u", low + 8) == F.col("prefix"))
         bins = inside.groupBy("key", F.shiftright("u", low).alias("bin")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("bin"))
-        bins = bins.withColumn("upto", upto).join(state.select("key", "rest"), "key").where("upto > rest")
-        crossed = bins.groupBy("key").agg(F.min(F.struct("bin", "words", "upto")).alias("b"))
+        bins = bins.withColumn("upto", upto).join(state.select("key", "rest", "before"), "key")
+        crossed = bins.groupBy("key").agg(
+            F.min(F.when(F.col("before") + F.col("upto") > F.col("rest"), F.struct("bin", "words", "upto"))).alias("b"), F.max("upto").alias("all")
+        )
+        # without a bin that crosses, every document is taken; that shows at the first digit
         state = state.join(crossed, "key", "left").select(
-            "key", "source_size", "target", "whole", F.coalesce("b.bin", "prefix").alias("prefix"),
-            F.coalesce(F.col("rest") - (F.col("b.upto") - F.col("b.words")), "rest").alias("rest"),
-            (F.col("every") | F.col("b").isNull()).alias("every"), F.coalesce("b.words", F.lit(0)).alias("words"),
+            "key", "rest", F.coalesce("b.bin", "prefix").alias("prefix"),
+            (F.col("before") + F.coalesce(F.col("b.upto") - F.col("b.words"), F.when(F.col("every"), 0).otherwise(F.col("all")), F.lit(0))).alias("before"),
+            F.coalesce("b.words", F.lit(0)).alias("words"), (F.col("every") | F.col("b").isNull()).alias("every"),
         )
-        state = cut(state, "rates")
-    more = (F.col("rest") >= F.col("words") / 2).cast("long")
-    below = F.when(F.col("every"), F.lit(1 << 8 * DIGITS)).otherwise(F.col("prefix") + more)
-    return state.select("key", "source_size", "target", "whole", below.cast("long").alias("below"))
+        state = cut(state, "cutoffs")
+    more = ~F.col("every") & (F.col("rest") - F.col("before") >= F.col("words") / 2)
+    below = F.when(F.col("every"), F.lit(1 << 8 * DIGITS)).otherwise(F.col("prefix") + more.cast("long"))
+    return state.select("key", below.cast("long").alias("below"), (F.col("before") + F.when(more, F.col("words")).otherwise(0)).alias("got"))
 
 
-def copies(doc_id: Column) -> Column:
+def plan(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """Per source: key, source_size, target, n (documents), whole (copies that all its documents get), and the hashes under
+    which big and small documents get one more.
+
+    `sizes` has key, u (hash) and size per document."""
+    rate = F.coalesce(F.exp(tilt(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0))
+    goals = goals.join(sizes.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("whole", F.floor(rate + 1e-9))
+    goals = goals.withColumn("due", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+    goals = cut(goals.select("key", "source_size", "target", "n", "whole", "due"), "rates")
+    marked = sizes.join(goals.select("key", "source_size", "n"), "key").select("key", "u", "size", _big(F.col("size")).alias("big"))
+    heavy = marked.where("big").groupBy("key").agg(F.sum("size").alias("heavy"))
+    share = goals.join(heavy, "key", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
+    share = share.withColumn("rest", F.coalesce(F.try_divide(F.col("due") * F.col("heavy"), F.col("source_size").cast("double")), F.lit(0.0)))
+    big = _cutoff(marked.where("big"), cut(share, "rates")).select("key", F.col("below").alias("below_big"), "got")
+    goals = goals.join(big, "key").withColumn("rest", F.greatest(F.col("due") - F.col("got"), F.lit(0.0)))
+    small = _cutoff(marked.where("not big"), cut(goals, "rates")).select("key", F.col("below").alias("below_small"))
+    return goals.join(small, "key").select("key", "source_size", "target", "n", "whole", "below_big", "below_small")
+
+
+def copies(doc_id: Column, size: Column, cap: int = CAP) -> Column:
     """Copies of a document that is joined to its source's row of plan()."""
-    return F.least(F.col("whole") + (_hash(doc_id) < F.col("below")).cast("long"), F.lit(CAP).cast("long"))
+    below = F.when(_big(size), F.col("below_big")).otherwise(F.col("below_small"))
+    return F.least(F.col("whole") + (_hash(doc_id) < below).cast("long"), F.lit(cap).cast("long"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] | dict[str, int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, size long, source_size long, target double, taken long (size times copies), copies long: one row per row of `docs`.
 
     Null, empty and blank texts have size 0 and take nothing; a source without words has target 0. A null source is a
@@ -107,18 +135,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
     rows = cut(rows.withColumn("key", _key(F.col("source"))).withColumn("u", _hash(F.col("doc_id"))), "sizes")
     rates = plan(rows, targets(rows, weights, cap))
-    out = rows.join(rates, "key").withColumn("copies", copies(F.col("doc_id")))
+    out = rows.join(rates, "key").withColumn("copies", copies(F.col("doc_id"), F.col("size"), cap))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] | dict[str, int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """`docs` with each row as often as the mix takes it. Texts are not shuffled: rows meet the table of sources only."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
     rows = cut(rows.withColumn("key", _key(F.col("source"))).withColumn("u", _hash(F.col("doc_id"))), "sizes")
     key, rate, copy = (unused(n, docs.columns) for n in ("__key", "__rate", "__copy"))
-    rates = plan(rows, targets(rows, weights, cap)).select(F.col("key").alias(key), F.struct("whole", "below").alias(rate))
+    rates = plan(rows, targets(rows, weights, cap)).select(F.col("key").alias(key), F.struct("source_size", "n", "whole", "below_big", "below_small").alias(rate))
     joined = docs.join(rates, _key(F.col(f"`{source_col}`").cast("string")) == F.col(key))
-    n = F.least(F.col(f"{rate}.whole") + (_hash(F.col(f"`{id_col}`")) < F.col(f"{rate}.below")).cast("long"), F.lit(cap).cast("long"))
+    r = lambda c: F.col(f"{rate}.{c}")
+    below = F.when(size_of(F.col(f"`{text_col}`")) * r("n") > r("source_size"), r("below_big")).otherwise(r("below_small"))
+    n = F.least(r("whole") + (_hash(F.col(f"`{id_col}`")) < below).cast("long"), F.lit(cap).cast("long"))
     return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -144,11 +174,19 @@ WITH d AS (
 ), w AS (SELECT *, (SELECT arg_min(level, n) FROM l WHERE level * weight <= most) AS water FROM l
 ), t AS (SELECT source, source_size, least(most::DOUBLE, coalesce(water * weight, most::DOUBLE)) AS target FROM w
 ), r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole FROM t
-), g AS (SELECT source, u, sum(size) AS words FROM d GROUP BY source, u
-), b AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY u) AS upto FROM g
+  SELECT t.*, x.n, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole
+  FROM t JOIN (SELECT source, count(*) AS n FROM d GROUP BY source) x ON t.source IS NOT DISTINCT FROM x.source
+), e AS (
+  SELECT d.*, r.source_size, r.target, r.whole, d.size * r.n > r.source_size AS big, greatest(r.target - r.whole * r.source_size, 0) AS due
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), g AS (SELECT source, big, u, sum(size) AS words, any_value(due) AS due, any_value(source_size) AS source_size FROM e GROUP BY source, big, u
+), b AS (SELECT *, sum(words) OVER (PARTITION BY source, big ORDER BY u) AS upto, sum(words) OVER (PARTITION BY source, big) AS stratum FROM g
+), h AS (SELECT source, u, words, upto - words / 2.0 <= coalesce(due * stratum / nullif(source_size::DOUBLE, 0), 0) AS more FROM b WHERE big
+), got AS (SELECT source, sum(words) FILTER (more) AS got FROM h GROUP BY source
+), l2 AS (SELECT b.source, b.u, b.upto - b.words / 2.0 <= greatest(b.due - coalesce(got.got, 0), 0) AS more
+          FROM b LEFT JOIN got ON b.source IS NOT DISTINCT FROM got.source WHERE NOT b.big
+), m AS (SELECT source, u, true AS big, more FROM h UNION ALL SELECT source, u, false, more FROM l2
 )
-SELECT d.doc_id, d.size, r.source_size, r.target,
-       CAST(d.size * (r.whole + CASE WHEN b.upto - b.words / 2.0 <= greatest(r.target - r.whole * r.source_size, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON b.u = d.u AND b.source IS NOT DISTINCT FROM d.source
+SELECT e.doc_id, e.size, e.source_size, e.target, CAST(e.size * (e.whole + CASE WHEN m.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM e JOIN m ON m.u = e.u AND m.big = e.big AND m.source IS NOT DISTINCT FROM e.source
 """

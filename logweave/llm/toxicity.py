@@ -251,6 +251,29 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     return got.select(id_col, (1 / (1 + F.exp(-(lexicon.base + lexicon.slope * F.col("burden"))))).alias("score"))
 
 
+def spans(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The matches that count, a row each: doc_id, start and end int (characters of the text), matched string, weight double.
+    Texts without a match have no row."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        automaton = sent.value.automaton()
+        for batch in batches:
+            at, out = [], []
+            for i, t in enumerate(batch["text"]):
+                t = t.as_py() or ""
+                for a, b, w in matches(t, automaton):
+                    at.append(i)
+                    out.append((a, b, t[a:b], w))
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
+            arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *arrays], names=["doc_id", "start", "end", "matched", "weight"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {id_type}, start int, end int, matched string, weight double")
+
+
 def op7_lexicon_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents; every fourth by crc32 of its id is held out of the training."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -118,6 +118,12 @@ def test_mix_caps_and_reshares(spark):
     check_mix(mixing.mix(df).collect(), df.collect())
 
 
+def test_named_weights(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * 10) for i in range(200)] + [(1000 + i, "c", "w " * 10) for i in range(50)], "doc_id long, source string, text string")
+    got = mixing.mix(df, weights={"a": 3, "b": 1}).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+    assert sorted(r.target for r in got) == [0.0, 625.0, 1875.0] and all(abs(r.n - r.target) <= 10 for r in got)
+
+
 def test_mix_odd_rows(spark, odd_docs, no_docs):
     rows = odd_docs.where("doc_id is not null and doc_id <> 13").collect()
     check_mix(mixing.mix(odd_docs.where("doc_id is not null and doc_id <> 13")).collect(), rows)

@@ -144,6 +144,17 @@ def test_classifier_odd_rows(spark, odd_docs, odd_labels, no_docs):
     assert crf.fit(no_docs, odd_labels).weights.sum() == 0 and crf.fit(odd_docs, odd_labels.limit(0)).weights.sum() == 0
 
 
+def test_labelled_lines_tile_their_texts(spark, odd_docs, odd_labels):
+    field, by = crf.fit(odd_docs, odd_labels), {}
+    texts = {r.doc_id: r.text or "" for r in odd_docs.where("doc_id <> 13").collect()}
+    for r in crf.label_lines(odd_docs.where("doc_id <> 13"), field).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == set(texts)
+    for i, rows in by.items():
+        assert [texts[i][r.start : r.end] for r in rows] == texts[i].split("\n") and [r.line for r in rows] == list(range(len(rows)))
+        assert all(r.good == (r.p_good >= 0.5) for r in rows)
+
+
 def test_a_chain_of_lines_lends_its_neighbours_weight():
     good, bad = "The river ran under the old stone bridge.", "BUY!! NOW!! BUY!! NOW!!"
     texts = [*["\n".join([good] * 6)] * 20, *["\n".join([bad] * 6)] * 20]
@@ -192,6 +203,12 @@ def test_matching_against_a_naive_search():
     assert [len(toxicity.matches(t, a)) for t in texts] == [0, 1, 0, 2, 1, 3, 2, 2, 1]
 
 
+def test_spans_point_at_the_matches(spark):
+    df = spark.createDataFrame([(1, "You 1D10T, 𝔘 scum!"), (2, "fine"), (3, None)], "doc_id long, text string")
+    got = toxicity.spans(df, toxicity.seed_lexicon()).collect()
+    assert [(r.doc_id, r.start, r.matched) for r in got] == [(1, 4, "1D10T"), (1, 13, "scum")]
+
+
 def test_lexicon_learns_and_scores_by_length(spark):
     rows, labels = [], []
     for i in range(200):
