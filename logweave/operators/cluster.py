@@ -96,3 +96,19 @@ def membership(events: DataFrame) -> DataFrame:
     rows = events.withColumn("effective", F.col("kind") != before)
     upto = Window.partitionBy("group_id").orderBy("event_no")
     return rows.withColumn("generation", F.sum(F.col("effective").cast("long")).over(upto))
+
+
+def client_counts(events: DataFrame) -> DataFrame:
+    """topic, publishers, consumers that are alive, from liveness events (topic, client_id, role, ts, kind)."""
+    last = events.groupBy("topic", "client_id", "role").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind")).where("kind = 'put'")
+    return last.groupBy("topic").agg(F.count_if(F.col("role") == "publisher").alias("publishers"), F.count_if(F.col("role") == "consumer").alias("consumers"))
+
+
+def assigned_total(assignment: DataFrame) -> DataFrame:
+    """node_id, partitions over all topics."""
+    return assignment.groupBy("node_id").agg(F.count("*").alias("partitions"))
+
+
+def puts_only(samples: DataFrame) -> DataFrame:
+    """Samples that carry data: puts whose path is no control traffic."""
+    return samples.where((F.col("kind") == "put") & ~F.col("key_expr").contains("/_"))

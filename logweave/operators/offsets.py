@@ -116,3 +116,20 @@ def reset_offsets(marks: DataFrame, group_id: str, to_latest: bool) -> DataFrame
     """Offsets of a group that is set to the start or to the watermarks."""
     seq = F.col("committed_seq") if to_latest else F.lit(0).cast("long")
     return marks.select(F.lit(group_id).alias("group_id"), "partition", "publisher_id", seq.alias("seq"))
+
+
+def lag_extremes(rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """One row: max_seq_lag, the largest distance of a publisher's newest number from a position, and behind_by, their sum."""
+    keys = ["partition", "publisher_id"]
+    tops = rows.groupBy(*keys).agg(F.max("seq").alias("top"))
+    joined = tops.join(positions.select(*keys, F.col("seq").alias("at")), keys, "left")
+    lag = F.greatest(F.col("top") - F.coalesce("at", F.lit(-1)), F.lit(0))
+    return joined.agg(F.coalesce(F.max(lag), F.lit(0)).alias("max_seq_lag"), F.coalesce(F.sum(lag), F.lit(0)).cast("long").alias("behind_by"))
+
+
+def replay_from_committed(log: DataFrame, committed: DataFrame, group_id: str) -> DataFrame:
+    """Rows behind the clock position that a group has committed for its publishers' key filter (group_id, publisher_id,
+    hlc_physical_ns, hlc_logical); publishers without one are read from the start."""
+    at = committed.where(F.col("group_id") == group_id).select("publisher_id", F.struct("hlc_physical_ns", "hlc_logical").alias("__at"))
+    rows = log.where("hlc_physical_ns is not null").join(at, "publisher_id", "left")
+    return rows.where(F.col("__at").isNull() | (F.struct("hlc_physical_ns", "hlc_logical") > F.col("__at"))).drop("__at")

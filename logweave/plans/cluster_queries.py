@@ -441,3 +441,43 @@ def chaos_timeline(spark, sf_dir):
     actions = (chaos.Action("kill", 1.0, 5000), chaos.Action("pause", 2.0, 2000), chaos.Action("delay", 3.0))
     plan = chaos.Plan(0.5, 600_000, 1000, 2, actions, tuple(f"node-{i:03d}" for i in range(1, 11)))
     return chaos.timeline_table(spark, plan, seed=11)
+
+
+CLIENTS_SQL = """cl AS (SELECT 'topic-' || (c_custkey % 6) AS topic, 'client-' || (c_custkey // 2) AS client_id, CASE WHEN c_nationkey % 3 = 0 THEN 'publisher' ELSE 'consumer' END AS role,
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c_custkey) AS ts, CASE WHEN c_custkey % 5 = 0 THEN 'delete' ELSE 'put' END AS kind, c_custkey FROM customer)"""
+
+
+def _clients(spark, sf_dir):
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("topic-"), (c % 6).cast("string")).alias("topic"), F.concat(F.lit("client-"), F.expr("cast(c_custkey div 2 as string)")).alias("client_id"),
+        F.when(F.col("c_nationkey") % 3 == 0, "publisher").otherwise("consumer").alias("role"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, c_custkey)").alias("ts"), F.when(c % 5 == 0, "delete").otherwise("put").alias("kind"),
+        F.concat(F.lit("clients/"), F.when(c % 7 == 0, "_internal/").otherwise(""), c.cast("string")).alias("key_expr"),
+    )
+
+
+@query("client_counts", f"""WITH {CLIENTS_SQL}, l AS (SELECT topic, client_id, role, arg_max(kind, ts) AS kind FROM cl GROUP BY ALL)
+  SELECT topic, count(*) FILTER (role = 'publisher') AS publishers, count(*) FILTER (role = 'consumer') AS consumers FROM l WHERE kind = 'put' GROUP BY topic""")
+def client_counts(spark, sf_dir):
+    return C.client_counts(_clients(spark, sf_dir))
+
+
+@query("puts_only", f"WITH {CLIENTS_SQL} SELECT client_id, ts FROM cl WHERE kind = 'put' AND c_custkey % 7 <> 0")
+def puts_only(spark, sf_dir):
+    return C.puts_only(_clients(spark, sf_dir)).select("client_id", "ts")
+
+
+@query("total_assigned_partitions", f"""WITH {SCORES}, {TOP} SELECT node_id, count(*) AS partitions FROM top, region WHERE (partition + r_regionkey) % 3 <> 0 GROUP BY node_id""")
+def total_assigned_partitions(spark, sf_dir):
+    base = P.replicas(P.partition_range(spark, N), nodes(spark, sf_dir), FACTOR)
+    topics = table(spark, sf_dir, "region").select("r_regionkey")
+    return C.assigned_total(base.join(F.broadcast(topics), (F.col("partition") + F.col("r_regionkey")) % 3 != 0))
+
+
+@query("alerts_by_severity", f"""WITH {STREAMS_SQL}, a AS (SELECT node_id, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_seen)) // 1000000 AS s FROM cview WHERE NOT online)
+  SELECT node_id, s AS offline_seconds FROM a WHERE s > 60 ORDER BY s DESC, node_id LIMIT 1000""")
+def alerts_by_severity(spark, sf_dir):
+    """The newest 1000 alerts of one severity."""
+    rows = C.node_alerts(_view(spark, sf_dir), NOW).where("severity = 'critical'")
+    return C.keep_newest(rows, 1000, [F.col("offline_seconds").desc(), F.col("node_id")]).select("node_id", "offline_seconds")

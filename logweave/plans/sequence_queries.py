@@ -249,3 +249,21 @@ def offset_reset(spark, sf_dir):
 def fan_in_union(spark, sf_dir):
     """Subscriptions to several partitions as one scan."""
     return L.subscribe(event_log(spark, sf_dir), partitions=[2, 5, 7]).select("partition", "publisher_id", "seq")
+
+
+@query("max_seq_lag", f"""WITH {LOG_SQL}, t AS (SELECT partition, publisher_id, max(seq) AS top, max(seq) FILTER (seq < 50) AS cur FROM log WHERE true GROUP BY ALL),
+  l AS (SELECT greatest(top - CASE WHEN CAST(publisher_id AS INT) % 4 = 0 THEN -1 ELSE coalesce(cur, -1) END, 0) AS lag FROM t)
+  SELECT coalesce(max(lag), 0) AS max_seq_lag, CAST(coalesce(sum(lag), 0) AS BIGINT) AS behind_by FROM l""")
+def max_seq_lag(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    return O.lag_extremes(log, S.cursors(log.where("seq < 50 and cast(publisher_id as int) % 4 <> 0")))
+
+
+@query("replay_from_committed", f"""WITH {LOG_SQL}, c AS (SELECT publisher_id, max(hlc_physical_ns) AS p FROM log WHERE seq < 20 AND hlc_physical_ns IS NOT NULL AND CAST(publisher_id AS INT) % 2 = 0 GROUP BY 1)
+  SELECT l.publisher_id, l.seq, l.event_id FROM log l LEFT JOIN c USING (publisher_id)
+  WHERE hlc_physical_ns IS NOT NULL AND (p IS NULL OR hlc_physical_ns > p OR (hlc_physical_ns = p AND hlc_logical > 1))""")
+def replay_from_committed(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    at = log.where("seq < 20 and hlc_physical_ns is not null and cast(publisher_id as int) % 2 = 0").groupBy("publisher_id").agg(F.max("hlc_physical_ns").alias("hlc_physical_ns"))
+    committed = at.select(F.lit("g").alias("group_id"), "publisher_id", "hlc_physical_ns", F.lit(1).cast("long").alias("hlc_logical"))
+    return O.replay_from_committed(log, committed, "g").select("publisher_id", "seq", "event_id")
