@@ -19,11 +19,11 @@ SCORES = f"""{NODES_SQL},
 pairs AS (SELECT CAST(p AS INTEGER) AS partition, node_id, capacity, rack, n, CAST(CAST('0x' || substr(md5(p || ':' || node_id), 1, 13) AS BIGINT) AS DOUBLE) AS hash FROM range({N}) t(p), nodes),
 scores AS (SELECT *, -capacity / ln((hash + 1.0) / (4503599627370496.0 + 2.0)) AS score FROM pairs)
 """
-TOP = f"top AS (SELECT partition, row_number() OVER (PARTITION BY partition ORDER BY score DESC, node_id) - 1 AS replica, node_id FROM scores QUALIFY replica < {FACTOR})"
+TOP = f"top AS (SELECT partition, CAST(row_number() OVER (PARTITION BY partition ORDER BY score DESC, node_id) - 1 AS INTEGER) AS replica, node_id FROM scores QUALIFY replica < {FACTOR})"
 
 
 def rack_sql(where: str = "true", factor: int = FACTOR, name: str = "racks") -> str:
-    return f"""{name} AS (SELECT partition, row_number() OVER (PARTITION BY partition ORDER BY again, score DESC, node_id) - 1 AS replica, node_id FROM
+    return f"""{name} AS (SELECT partition, CAST(row_number() OVER (PARTITION BY partition ORDER BY again, score DESC, node_id) - 1 AS INTEGER) AS replica, node_id FROM
       (SELECT *, row_number() OVER (PARTITION BY partition, coalesce(rack, '') ORDER BY score DESC, node_id) > 1 AS again FROM scores WHERE {where}) QUALIFY replica < {factor})"""
 
 
@@ -305,7 +305,7 @@ ATTEMPTS = "att AS (SELECT event_id, CAST(k AS BIGINT) AS attempt_no, (event_no
 
 
 @query("dlq_outcomes", f"""WITH {LOG_SQL}, {ATTEMPTS}, r AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY event_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM att),
-  f AS (SELECT event_id, attempt_no, ok, CASE WHEN ok THEN 0 ELSE row_number() OVER (PARTITION BY event_id, run ORDER BY attempt_no) END AS failures FROM r),
+  f AS (SELECT event_id, attempt_no, ok, CAST(CASE WHEN ok THEN 0 ELSE row_number() OVER (PARTITION BY event_id, run ORDER BY attempt_no) END AS INTEGER) AS failures FROM r),
   o AS (SELECT *, CASE WHEN ok THEN 'ack' WHEN failures >= 3 THEN 'dlq' ELSE 'retry' END AS outcome FROM f)
   SELECT *, CASE WHEN outcome = 'retry' THEN CAST(least(100 * pow(2, failures - 1), 1000) AS BIGINT) END AS delay_ms FROM o""")
 def dlq_outcomes(spark, sf_dir):

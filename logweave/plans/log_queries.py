@@ -14,7 +14,7 @@ from logweave.sources.adapters import LOG_SQL, VERSIONS_SQL, event_log, order_ve
 from .registry import query
 
 COLS = ["partition", "publisher_id", "seq", "event_id", "ts_ns", "key", "hlc_physical_ns", "hlc_logical"]
-OUT = "partition, publisher_id, seq, event_id, ts_ns, key, hlc_physical_ns, hlc_logical, strlen(payload) AS payload_size"
+OUT = "partition, publisher_id, seq, event_id, ts_ns, key, hlc_physical_ns, hlc_logical, CAST(strlen(payload) AS INTEGER) AS payload_size"
 HLC = "hlc_physical_ns IS NOT NULL"
 PUBLISHER = "00000003"
 #: Bounds inside the time span of the test events, in nanoseconds since 1970.
@@ -65,7 +65,7 @@ log_query("retention_max_bytes", lambda log: L.retain_newest(log, max_bytes=500)
 
 
 @query("replay_fallback", f"""WITH {LOG_SQL} SELECT partition, publisher_id, seq, event_id, ts_ns, key,
-  coalesce(hlc_physical_ns, ts_ns) AS hlc_physical_ns, coalesce(hlc_logical, 0) AS hlc_logical, strlen(payload) AS payload_size FROM log""")
+  coalesce(hlc_physical_ns, ts_ns) AS hlc_physical_ns, coalesce(hlc_logical, 0) AS hlc_logical, CAST(strlen(payload) AS INTEGER) AS payload_size FROM log""")
 def replay_fallback(spark, sf_dir):
     """Rows without a clock take part by their timestamp."""
     return out(L.replay(event_log(spark, sf_dir), fallback=True))
@@ -81,7 +81,7 @@ def replay_page_2(spark, sf_dir):
 
 
 NEWEST = "QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY seq DESC, publisher_id) = 1"
-V_OUT = "publisher_id, seq, o_orderkey, key, key_expr, strlen(payload) AS payload_size"
+V_OUT = "publisher_id, seq, o_orderkey, key, key_expr, CAST(strlen(payload) AS INTEGER) AS payload_size"
 
 
 def v_out(rows: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def extract_key_partition(spark, sf_dir):
     return rows.select(p, exprs.extract_partition(p).alias("found_partition"), exprs.extract_key(p).alias("found_key"), exprs.is_internal(p).alias("internal"))
 
 
-@query("event_summary", f"""WITH {LOG_SQL} SELECT publisher_id, seq, partition, key, strlen(payload) AS payload_size, ts FROM log""")
+@query("event_summary", f"""WITH {LOG_SQL} SELECT publisher_id, seq, partition, key, CAST(strlen(payload) AS INTEGER) AS payload_size, ts FROM log""")
 def event_summary(spark, sf_dir):
     return event_log(spark, sf_dir).select("publisher_id", "seq", "partition", "key", F.length("payload").alias("payload_size"), "ts")
 
