@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which all machines share; where that is unset (tests), under a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="logweave-")
+        local = tempfile.mkdtemp(prefix="logweave-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/logweave/{name}-{uuid.uuid4().hex}"
