@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     Only sessions without a cluster leave it unset: there the one machine sees the local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="logweave-")
+        local = tempfile.mkdtemp(prefix="logweave-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -73,14 +76,20 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def code_point_order(df: DataFrame, col: str) -> Column:
+def code_point_order(col: str) -> Column:
     """UTF-8 byte order is code point order, and Spark compares strings by bytes."""
     return F.col(col).asc_nulls_last()
 
 
 def sample_by_hash(df: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """At most `bound` rows, those with the smallest hash of the id: the same rows in any run and order."""
-    return df.orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(bound)
+    """At most `bound` rows, those with the smallest hash of the id: the same rows in any run and order.
+
+    Of a large table only rows below twice the hash that is expected to suffice are sorted: otherwise each task would send
+    its `bound` smallest rows to one."""
+    order, n = F.xxhash64(F.col(id_col).cast("string")), df.count()
+    if n > 4 * bound:
+        df = df.where(order < int(-(1 << 63) + (1 << 64) * (2 * bound / n)))
+    return df.orderBy(order, F.col(id_col)).limit(bound)
 
 
 def text_chunks(texts: list, limit: int = 4_000_000):

@@ -45,14 +45,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] | dict[str, int] = WEIGHT
     last, take the weights in turn. They share all words by weight; no target passes `cap` times its
     source's words, and what is above goes to the others by weight. That is a water level: sources whose cap per weight
     lies below it are capped, the others get the level times their weight. The windows run over one row per source."""
-    rank = Window.orderBy(code_point_order(sizes, "source"))
+    rank = Window.orderBy(code_point_order("source"))
     given = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     if isinstance(weights, dict):
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")], F.lit(0))
     else:
         weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))
     given = given.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
-    by = Window.orderBy(F.try_divide(F.col("most"), F.col("weight")).asc_nulls_last(), code_point_order(given, "source"))
+    by = Window.orderBy(F.try_divide(F.col("most"), F.col("weight")).asc_nulls_last(), code_point_order("source"))
     every = Window.partitionBy()
     below = F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     above = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))

@@ -244,6 +244,16 @@ def test_toxicity_held_out(spark):
     assert {r.held_out for r in got} == {True} and all((r.score >= 0.3) == bool(r.predicted) for r in got)
 
 
+def test_samples_are_bounded_and_the_same_in_any_order(spark):
+    from logweave.llm.common import sample_by_hash
+
+    df = spark.range(20_000)
+    got = sorted(r.id for r in sample_by_hash(df, "id", 100).collect())
+    want = sorted(r.id for r in df.orderBy(F.xxhash64(F.col("id").cast("string"))).limit(100).collect())
+    assert got == want == sorted(r.id for r in sample_by_hash(df.repartition(7), "id", 100).collect())
+    assert sample_by_hash(df.limit(50), "id", 100).count() == 50 and sample_by_hash(df.limit(0), "id", 100).count() == 0
+
+
 def test_folds(spark):
     import zlib
 
