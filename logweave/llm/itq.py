@@ -235,3 +235,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def op2_itq_near_dup(spark, sf_dir: str) -> DataFrame:
     """All embeddings against all."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Brute force: every pair is compared. The query finds pairs by codes, so on tables where it misses a link the two differ.
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE (SELECT bool_and(x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) AND bool_or(x <> 0) FROM (SELECT unnest(e) AS x))
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u
+), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u
+), c AS (SELECT u, min(w) AS smallest FROM r GROUP BY u
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, smallest) AS component_id, vec_id = least(vec_id, smallest) AS kept
+FROM v LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id
+"""

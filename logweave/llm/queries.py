@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_itq_near_dup": itq.OP2_SQL,
     "op5_entropy_mix": mixing.OP5_SQL,
     "op9_url_rules": url_rules.OP9_SQL,
 }

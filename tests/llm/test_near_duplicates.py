@@ -158,3 +158,12 @@ def test_embedding_odd_rows(spark):
     assert by[1] == [(5, 1, True)] and by[2] == [(5, 1, False)] and by[11] == [(5, 1, False)] and by[3] == [(5, 1, False)] * 2
     assert all(by[i] == [(0, i, True)] for i in (4, 5, 6, 7, 8, 9, 12, 13)) and by[None] == [(0, None, False)]
     assert itq.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sql_of_brute_force_on_linked_vectors(spark, tmp_path):
+    """The registered SQL on a table with links, which the smallest test tables lack."""
+    from ..oracle import compare
+
+    x = vectors(n=150)[:330]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert compare(spark, "op2", itq.op2_itq_near_dup, itq.OP2_SQL, str(tmp_path)) is None
