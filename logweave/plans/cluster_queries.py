@@ -49,13 +49,13 @@ def partition_distribution(spark, sf_dir):
 
 def _overrides(spark):
     return spark.range(N * 2).select(
-        (F.col("id") % N).cast("int").alias("partition"), F.lit(0).alias("replica"), F.format_string("node-%03d", F.col("id") % 7 + 1).alias("node_id"),
+        (F.col("id") % N).cast("int").alias("partition"), F.lit(0).alias("replica"), F.format_string("node-%06d", F.col("id") % 7 + 1).alias("node_id"),
         F.lit("manual").alias("reason"), F.col("id").alias("epoch"),
         F.when(F.col("id") % 5 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("expires_at"),
     ).where("epoch % 3 <> 1")
 
 
-OVERRIDES_SQL = f"""overrides AS (SELECT CAST(id % {N} AS INTEGER) AS partition, 0 AS replica, 'node-' || lpad(CAST(id % 7 + 1 AS VARCHAR), 3, '0') AS node_id,
+OVERRIDES_SQL = f"""overrides AS (SELECT CAST(id % {N} AS INTEGER) AS partition, 0 AS replica, 'node-' || lpad(CAST(id % 7 + 1 AS VARCHAR), 6, '0') AS node_id,
   id AS epoch, id % 5 = 0 AS expired FROM range({N * 2}) t(id) WHERE id % 3 <> 1)"""
 NEWEST = "QUALIFY row_number() OVER (PARTITION BY partition, replica ORDER BY epoch DESC) = 1"
 
@@ -79,16 +79,16 @@ def override_upsert(spark, sf_dir):
     return P.upsert_overrides(rows.where("epoch < 64"), rows.where("epoch >= 64"))
 
 
-@query("undrain", f"WITH {OVERRIDES_SQL} SELECT partition, replica, node_id, epoch FROM overrides WHERE node_id <> 'node-003'")
+@query("undrain", f"WITH {OVERRIDES_SQL} SELECT partition, replica, node_id, epoch FROM overrides WHERE node_id <> 'node-000003'")
 def undrain(spark, sf_dir):
-    return P.without_node(_overrides(spark), "node-003").select("partition", "replica", "node_id", "epoch")
+    return P.without_node(_overrides(spark), "node-000003").select("partition", "replica", "node_id", "epoch")
 
 
-@query("drain_plan", f"""WITH {SCORES}, {TOP}, {rack_sql("node_id <> 'node-003'", 1)}
-  SELECT t.partition, t.replica, r.node_id FROM top t JOIN racks r USING (partition) WHERE t.node_id = 'node-003'""")
+@query("drain_plan", f"""WITH {SCORES}, {TOP}, {rack_sql("node_id <> 'node-000003'", 1)}
+  SELECT t.partition, t.replica, r.node_id FROM top t JOIN racks r USING (partition) WHERE t.node_id = 'node-000003'""")
 def drain_plan(spark, sf_dir):
     all_nodes, parts = nodes(spark, sf_dir), P.partition_range(spark, N)
-    return P.drain_plan(P.replicas(parts, all_nodes, FACTOR), parts, all_nodes, "node-003")
+    return P.drain_plan(P.replicas(parts, all_nodes, FACTOR), parts, all_nodes, "node-000003")
 
 
 @query("rebalance_diff", f"""WITH {SCORES}, a AS (SELECT partition, node_id FROM scores QUALIFY row_number() OVER (PARTITION BY partition ORDER BY hash DESC, node_id) = 1),
@@ -99,14 +99,14 @@ def rebalance_diff(spark, sf_dir):
     return P.rebalance(P.assign(parts, all_nodes), P.assign(parts, all_nodes.where("n <> 2")))
 
 
-@query("reconcile_actions", f"""WITH {SCORES}, {TOP}, want AS (SELECT partition, replica FROM top WHERE node_id = 'node-001'),
-  have AS (SELECT partition, replica, CASE WHEN partition % 4 = 0 THEN 'draining' ELSE 'active' END AS state FROM top WHERE node_id IN ('node-001', 'node-002') AND partition % 3 <> 0)
+@query("reconcile_actions", f"""WITH {SCORES}, {TOP}, want AS (SELECT partition, replica FROM top WHERE node_id = 'node-000001'),
+  have AS (SELECT partition, replica, CASE WHEN partition % 4 = 0 THEN 'draining' ELSE 'active' END AS state FROM top WHERE node_id IN ('node-000001', 'node-000002') AND partition % 3 <> 0)
   SELECT partition, replica, 'start' AS action FROM want WHERE (partition, replica) NOT IN (SELECT partition, replica FROM have)
   UNION ALL SELECT partition, replica, 'drain' FROM have WHERE state <> 'draining' AND (partition, replica) NOT IN (SELECT partition, replica FROM want)""")
 def reconcile_actions(spark, sf_dir):
     base = P.replicas(P.partition_range(spark, N), nodes(spark, sf_dir), FACTOR)
-    have = base.where("node_id in ('node-001', 'node-002') and partition % 3 <> 0").withColumn("state", F.when(F.col("partition") % 4 == 0, "draining").otherwise("active"))
-    return P.reconcile(base.where("node_id = 'node-001'"), have)
+    have = base.where("node_id in ('node-000001', 'node-000002') and partition % 3 <> 0").withColumn("state", F.when(F.col("partition") % 4 == 0, "draining").otherwise("active"))
+    return P.reconcile(base.where("node_id = 'node-000001'"), have)
 
 
 @query("label_placement", f"""WITH {NODES_SQL} SELECT r_name AS topic, node_id FROM region, nodes
@@ -201,12 +201,12 @@ def replica_lists(spark, sf_dir):
 
 
 @query("node_partitions", f"""WITH {SCORES}, {TOP} SELECT r_name AS topic, string_agg(CAST(partition AS VARCHAR), ',' ORDER BY partition) AS partitions
-  FROM (SELECT DISTINCT r_name, partition FROM region, top WHERE starts_with(node_id, 'node-01') AND (partition + r_regionkey) % 2 = 0) GROUP BY r_name""")
+  FROM (SELECT DISTINCT r_name, partition FROM region, top WHERE starts_with(node_id, 'node-00000') AND (partition + r_regionkey) % 2 = 0) GROUP BY r_name""")
 def node_partitions(spark, sf_dir):
     base = P.replicas(P.partition_range(spark, N), nodes(spark, sf_dir), FACTOR)
     topics = table(spark, sf_dir, "region").select(F.col("r_name").alias("topic"), "r_regionkey")
     rows = base.join(F.broadcast(topics), (F.col("partition") + F.col("r_regionkey")) % 2 == 0)
-    return C.node_partitions(rows, "node-01").withColumn("partitions", F.array_join(F.col("partitions").cast("array<string>"), ","))
+    return C.node_partitions(rows, "node-00000").withColumn("partitions", F.array_join(F.col("partitions").cast("array<string>"), ","))
 
 
 @query("newest_lag_points", f"""WITH {LOG_SQL} SELECT partition, publisher_id, seq FROM log QUALIFY row_number() OVER (PARTITION BY partition ORDER BY ts_ns DESC, event_no DESC) <= 30""")
@@ -301,7 +301,7 @@ def processor_delay(spark, sf_dir):
     return R.process(event_log(spark, sf_dir), "delay", delay_ms=250).select("event_id", "ts")
 
 
-ATTEMPTS = "att AS (SELECT event_id, CAST(k AS BIGINT) AS attempt_no, (event_no * 7 + k * 3) % 5 = 0 AS ok FROM log, range(1, 9) t(k) WHERE event_no % 10 = 0)"
+ATTEMPTS = "att AS (SELECT event_id, CAST(k AS BIGINT) AS attempt_no, (event_no * 7 + k * 3) % 5 = 0 AS ok FROM log, range(1, 9) t(k))"
 
 
 @query("dlq_outcomes", f"""WITH {LOG_SQL}, {ATTEMPTS}, r AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY event_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM att),
@@ -309,7 +309,7 @@ ATTEMPTS = "att AS (SELECT event_id, CAST(k AS BIGINT) AS attempt_no, (event_no
   o AS (SELECT *, CASE WHEN ok THEN 'ack' WHEN failures >= 3 THEN 'dlq' ELSE 'retry' END AS outcome FROM f)
   SELECT *, CASE WHEN outcome = 'retry' THEN CAST(least(100 * pow(2, failures - 1), 1000) AS BIGINT) END AS delay_ms FROM o""")
 def dlq_outcomes(spark, sf_dir):
-    rows = event_log(spark, sf_dir).where("event_no % 10 = 0").withColumn("attempt_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))
+    rows = event_log(spark, sf_dir).withColumn("attempt_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))
     rows = rows.select("event_id", "attempt_no", ((F.col("event_no") * 7 + F.col("attempt_no") * 3) % 5 == 0).alias("ok"))
     return R.retry_outcomes(rows, 3, 100, 1000)
 
@@ -439,7 +439,7 @@ def chaos_timeline(spark, sf_dir):
     from logweave.sources import chaos
 
     actions = (chaos.Action("kill", 1.0, 5000), chaos.Action("pause", 2.0, 2000), chaos.Action("delay", 3.0))
-    plan = chaos.Plan(0.5, 600_000, 1000, 2, actions, tuple(f"node-{i:03d}" for i in range(1, 11)))
+    plan = chaos.Plan(0.5, 600_000, 1000, 2, actions, tuple(f"node-{i:06d}" for i in range(1, 11)))
     return chaos.timeline_table(spark, plan, seed=11)
 
 

@@ -136,9 +136,9 @@ def gaps_remaining(spark, sf_dir):
     return S.remaining(S.missing_ranges(log), S.gaps(log).where("seq % 2 = 0"))
 
 
-@query("checkpoint_restore", f"WITH {ARRIVALS_SQL} SELECT partition, publisher_id, max(seq) AS seq FROM arrivals WHERE event_no % 3 = 0 GROUP BY ALL")
+@query("checkpoint_restore", f"WITH {ARRIVALS_SQL} SELECT partition, publisher_id, max(seq) AS seq FROM arrivals GROUP BY ALL")
 def checkpoint_restore(spark, sf_dir):
-    return S.checkpoint(arrivals(event_log(spark, sf_dir)).where("event_no % 3 = 0"))
+    return S.checkpoint(arrivals(event_log(spark, sf_dir)))
 
 
 @query("publisher_partitions", f"""WITH {LOG_SQL} SELECT publisher_id, array_to_string(list_sort(list(DISTINCT p)), ',') AS partitions FROM

@@ -80,10 +80,10 @@ def offset_commits(log: DataFrame) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storage nodes from the first suppliers of every nation: id, capacity, rack and labels."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 40")
+    """Storage nodes from suppliers: id, capacity, rack and labels."""
+    s = table(spark, sf_dir, "supplier")
     return s.select(
-        F.format_string("node-%03d", "s_suppkey").alias("node_id"), (100 + F.pmod(F.floor("s_acctbal").cast("long"), F.lit(3)) * 100).cast("int").alias("capacity"),
+        F.format_string("node-%06d", "s_suppkey").alias("node_id"), (100 + F.pmod(F.floor("s_acctbal").cast("long"), F.lit(3)) * 100).cast("int").alias("capacity"),
         F.when(F.col("s_suppkey") % 9 != 0, F.concat(F.lit("rack-"), (F.col("s_nationkey") % 4).cast("string"))).alias("rack"),
         F.when(F.col("s_suppkey") % 2 == 0, "ssd").otherwise("hdd").alias("disk"), F.col("s_nationkey").alias("zone"), F.col("s_suppkey").alias("n"),
     )
@@ -132,10 +132,10 @@ commits AS (SELECT 'g' || g AS group_id, 'm' || (c % 2) AS member_id, partition,
        FROM tops, range(3) r1(g), range(4) r2(c))
 """
 NODES_SQL = """
-nodes AS (SELECT 'node-' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS node_id,
+nodes AS (SELECT 'node-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS node_id,
        CAST(100 + (((CAST(floor(s_acctbal) AS BIGINT) % 3) + 3) % 3) * 100 AS INTEGER) AS capacity,
        CASE WHEN s_suppkey % 9 <> 0 THEN 'rack-' || (s_nationkey % 4) END AS rack,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'ssd' ELSE 'hdd' END AS disk, s_nationkey AS zone, s_suppkey AS n FROM supplier WHERE s_suppkey <= 40)
+       CASE WHEN s_suppkey % 2 = 0 THEN 'ssd' ELSE 'hdd' END AS disk, s_nationkey AS zone, s_suppkey AS n FROM supplier)
 """
 MANIFESTS_SQL = LOG_SQL + """,
 published AS (SELECT event_id, event_no, seq, publisher_id, partition, ts, md5(payload) AS checksum, event_no AS line FROM log),
