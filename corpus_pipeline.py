@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages, each written as Parquet before the next one reads it."""
+"""A corpus pipeline of five stages, each written as Parquet before the next one reads it.
+
+Odd rows: null, empty and blank texts have fewer words than the quality rules ask for and go in the first stage (later stages
+on their own give such texts score 0, one class, no copies and the closing id alone). Null ids pass all stages but are
+never what the models are fitted on; a null source is a source of its own. Repeated rows stay alike until the near
+duplicates, which keep one row. Columns that aren't those of `documents` pass through, whatever their names. Very long texts
+are read whole. An empty table gives empty results at every stage."""
 
 from __future__ import annotations
 
