@@ -117,7 +117,8 @@ def plan(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     big = _cutoff(marked.where("big"), cut(share, "rates")).select("key", F.col("below").alias("below_big"), "got")
     goals = goals.join(big, "key").withColumn("rest", F.greatest(F.col("due") - F.col("got"), F.lit(0.0)))
     small = _cutoff(marked.where("not big"), cut(goals, "rates")).select("key", F.col("below").alias("below_small"))
-    return goals.join(small, "key").select("key", "source_size", "target", "n", "whole", "below_big", "below_small")
+    # written, as only a table whose size is known is broadcast without shuffling the documents first
+    return cut(goals.join(small, "key").select("key", "source_size", "target", "n", "whole", "below_big", "below_small"), "plan")
 
 
 def copies(doc_id: Column, size: Column, cap: int = CAP) -> Column:
