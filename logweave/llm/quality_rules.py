@@ -60,6 +60,7 @@ def repeated_words(words: Column) -> Column:
     windows = F.transform(
         F.slice(words, F.lit(1), count), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
     )
+
     def equal_neighbour(s, i):
         before = F.when(i > 0, F.get(s, i - 1)["h"])
         after = F.get(s, i + 1)["h"]
