@@ -22,8 +22,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the conditional random field, fitted on the labelled ones among them, predicts to be good."""
-    field = crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the conditional random field predicts to be good.
+
+    It is fitted on the labelled rows of the whole table: the stage before leaves next to none that are labelled bad."""
+    field = crf.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = unused("__score", docs.columns)
     return crf.classify(docs, field, score_col=score, keep_from=crf.PREDICT_FROM).drop(score)
 

@@ -7,6 +7,7 @@ sample (`TRAIN_DOCS` documents of `TRAIN_LINES` lines at most); scoring is a map
 
 from __future__ import annotations
 
+import logging
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -191,7 +192,7 @@ def neutral() -> Field:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Fit on the rows of `labels` (id, 0 or 1) that `docs` has. Null ids and labels are left out; of repeated ids one label counts,
-    the largest. Without both labels the field is neutral."""
+    the largest. Without both labels the field is neutral, and a warning is logged."""
     named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
     named = sample_by_hash(named.groupBy("__id").agg(F.max("__y").alias("__y")), "__id", TRAIN_DOCS)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(named), "__id").select("text", "__y")
@@ -210,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     got = rows.mapInArrow(run, "y int, f binary").collect()
     y = np.array([r.y for r in got])
     if not len(y) or y.min() == y.max():
+        logging.getLogger(__name__).warning("%d labelled documents, of labels %s: the field is neutral and rejects nothing", len(y), sorted({*y.tolist()}))
         return neutral()
     got.sort(key=lambda r: (r.y, bytes(r.f)))  # the same sums in any order of arrival
     y, own = np.array([r.y for r in got]), [np.frombuffer(r.f, np.float32).reshape(-1, OWN) for r in got]

@@ -336,3 +336,16 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf_dir, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, stored, sf_dir).columns == stored.columns, name
         assert stage(spark, no_docs, sf_dir).count() == 0, name
+
+
+def test_pipeline_classifier_rejects_junk_that_passes_the_rules(spark, docs, sf_dir):
+    """Every labelled document that reaches the stage is good; the junk planted among them has no label."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
+    junk = "\n".join(" ".join(f"{w}{i}!!$${i * j}##" for j, w in enumerate(["BUY", "WIN", "CLICK", "FREE", "CASH"])) for i in range(30))
+    rules = quality_rules.fit(docs, quality_rules.trusted_ids(spark, sf_dir))
+    planted = good.limit(1).withColumns({"doc_id": F.lit(10**9).cast("long"), "text": F.lit(junk)}).select(docs.columns)
+    assert quality_rules.judge(planted, rules).first().kept
+    stage = dict(corpus_pipeline.STAGES)["quality classifier"]
+    after = {r.doc_id for r in stage(spark, good.unionByName(planted), sf_dir).collect()}
+    assert 10**9 not in after and len(after) > 0.95 * good.count()
