@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, let, sample_by_hash, unused, words_of
+from .common import GAP, let, unused, words_of
 
 BUCKETS = 1 << 16
 #: Single words. Held out on 10,000 documents, words alone part junk (all below -0.37) from prose (all above -0.08); words and
@@ -24,8 +24,8 @@ ORDERS = (1,)
 SMOOTHING = 5.0
 #: Nats per n-gram.
 MIN_SCORE = -0.16
-#: The target is fitted on at most so many trusted documents; their ids are broadcast.
-MAX_TRUSTED = 50_000
+#: The ids of so many trusted documents are broadcast; of more, Spark joins them as it sees fit.
+BROADCAST_IDS = 1_000_000
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
@@ -112,8 +112,9 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     Ids that `docs` lacks, null and repeated ids change nothing. With no trusted document both models agree, every
     score is zero and only base rules reject."""
     ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    ids = sample_by_hash(ids, "__id", MAX_TRUSTED).withColumn("__trusted", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id", "left")
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.withColumn("__trusted", F.lit(1))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids) if few else ids, "__id", "left")
     grams = F.transform(F.array(words_of(F.col("__text"))), lambda w: gram_buckets(w, orders))
     counts = (
         rows.select("__trusted", F.explode(F.flatten(grams)).alias("bucket"))

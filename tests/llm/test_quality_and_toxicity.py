@@ -164,6 +164,15 @@ def test_a_chain_of_lines_lends_its_neighbours_weight():
     assert s[0] > 0.8 and s[1] < 0.2 and s[1] < s[2] < s[0]
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """More than 50,000 trusted documents: where all are trusted the two models agree in every bucket."""
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common word"), "id").alias("text"))
+    assert set(quality_rules.fit(many, many).weights.split(",")) == {"0.000000"}
+    part = quality_rules.fit(many, many.where("doc_id % 3 = 0"))
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    assert quality_rules.fit(many, many.where("doc_id % 3 = 0")) == part
+
+
 # The lexicon
 def test_folding_keeps_length():
     text = "ＩＤＩОТ 1d10t Мoron \U0001d518 é ß İ\t$cum"
