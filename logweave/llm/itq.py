@@ -4,19 +4,24 @@
 2. A rotation that balances and decorrelates binary codes is learned on a bounded sample of classes (`FIT_ROWS`).
 3. Every class gets a 64-bit code, cut into `TABLES` substrings. Table t holds each code under its t-th substring and under
    all substrings at one differing bit; two codes whose t-th substrings differ in two bits or fewer meet there. So
-   all pairs with up to 3 * TABLES - 1 = 11 differing bits meet for certain, and most others up to `MAX_BITS`.
+   all pairs with up to 3 * TABLES - 1 = 11 differing bits meet for certain. How many of the others meet is measured on pairs
+   planted at the threshold around the sample; where it is less than `RECALL` codes get further words from random rotations,
+   and so further tables, until it isn't. Where `MOST_WORDS` about the mean don't suffice (nearly parallel vectors), codes are
+   random rotations of the vectors as they are: there a pair's chance to meet depends on its angle alone.
 4. Vectors within half the threshold's angle of a pivot all link with each other, as angles obey the triangle inequality. Such
    groups are found first and counted, so a dense group of n near copies costs n rows and not n^2 pairs. Pivots are the
    smallest ids that share a substring with a vector, and in a second round the pivots of those that do.
 5. Other pairs that meet are compared by the whole code inside the join, and each is emitted by one table and key only.
 6. Cosine in double precision on the original vectors decides. No pair below the threshold links.
 
-Growth: a code has 17 rows per table. The pairs that meet by chance grow with n^2 / 2^(64 / TABLES); for corpora far
+Growth: a code has 17 rows per table, four tables for centred vectors and up to 4 * MOST_WORDS for others. The pairs that meet by chance grow with n^2 / 2^(64 / TABLES); for corpora far
 above 10^7 vectors use fewer, longer substrings (TABLES = 2) - the number of rows per code stays linear in the bits.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +33,12 @@ from .components import connected_components
 THRESHOLD = 0.9
 BITS = 64
 TABLES = 4
-#: Pairs with more differing bits are not reranked. At cosine 0.9 a pair differs in 9.2 bits on average (sd 2.8).
-MAX_BITS = 18
+#: Tables are added until at least this share of planted pairs is found, in the worse of two ways to plant them.
+RECALL = 0.99
+PLANTED, MOST_WORDS = 4000, 8
+#: Pairs with more differing bits than all but this share of the planted pairs, and than MAX_BITS, are not reranked. At cosine
+#: 0.9 a pair of centred vectors differs in 9.2 bits of a word on average (sd 2.8).
+BEYOND, MAX_BITS = 0.001, 18
 #: At most so many vectors, and so many numbers in them, are collected to learn the rotation.
 FIT_ROWS, FIT_VALUES = 20_000, 4_000_000
 ROUNDS = 40
@@ -68,57 +77,121 @@ def fit(sample: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.concatenate(parts, axis=1)[:, :BITS]
 
 
+def random_words(d: int, n: int, seed: int = 0) -> np.ndarray:
+    """Projection d x (n * BITS) of random rotations."""
+    rng, parts, have = np.random.default_rng(seed), [], 0
+    while have < n * BITS:
+        parts.append(np.linalg.qr(rng.normal(size=(d, min(d, BITS))))[0] * rng.choice([-1.0, 1.0], min(d, BITS)))
+        have += min(d, BITS)
+    return np.concatenate(parts, axis=1)[:, : n * BITS]
+
+
+def planted(sample: np.ndarray, threshold: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is the threshold: sampled ones turned in any direction, and towards one another."""
+    rng, d = np.random.default_rng(seed), sample.shape[1]
+    x = sample[rng.integers(0, len(sample), PLANTED)]
+    cosine = np.clip(threshold, -1.0, 1.0)
+    out = []
+    for z in (rng.normal(size=(PLANTED, d)), sample[rng.integers(0, len(sample), PLANTED)]):
+        aside = z - (z * x).sum(axis=1, keepdims=True) * x
+        length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+        ok = length[:, 0] > 1e-6
+        if ok.any():
+            out.append((x[ok], cosine * x[ok] + np.sqrt(1 - cosine**2) * aside[ok] / length[ok]))
+    return out
+
+
+def needed(model: tuple[np.ndarray, np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int | None, list[int]]:
+    """(tables that find RECALL of the pairs, None if the model's words don't suffice; bits to allow for 1, 2, ... words)."""
+    mean, projection = model
+    words, width = projection.shape[1] // BITS, BITS // TABLES
+    differ = [((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0) for x, y in pairs]
+    bits = [b.reshape(len(b), words, BITS).sum(axis=2).cumsum(axis=1) for b in differ]
+    allowed = [max(MAX_BITS, *[int(np.ceil(np.quantile(b[:, w], 1 - BEYOND))) for b in bits]) if bits else MAX_BITS for w in range(words)]
+    met = [np.logical_or.accumulate(b.reshape(len(b), words * TABLES, width).sum(axis=2) <= 2, axis=1) for b in differ]
+    for t in range(TABLES, words * TABLES + 1):
+        w = (t - 1) // TABLES
+        if all((m[:, t - 1] & (b[:, w] <= allowed[w])).mean() >= RECALL for m, b in zip(met, bits, strict=True)):
+            return t, allowed
+    return None, allowed
+
+
+def choose(sample: np.ndarray, centred: bool, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray], int, list[int]]:
+    """(model of MOST_WORDS words, tables, bits to allow) for unit vectors."""
+    d, pairs = sample.shape[1], planted(sample, threshold)
+    if centred:
+        mean, first = fit(sample)
+        model = mean, np.concatenate([first, random_words(d, MOST_WORDS - 1, 1)], axis=1)
+        tables, allowed = needed(model, pairs)
+        if tables:
+            return model, tables, allowed
+    model = np.zeros(d), random_words(d, MOST_WORDS, 2)
+    tables, allowed = needed(model, pairs)
+    if not tables:
+        logging.getLogger(__name__).warning("%d tables find fewer than %s of the pairs at the threshold", MOST_WORDS * TABLES, RECALL)
+    return model, tables or MOST_WORDS * TABLES, allowed
+
+
 def encode(rows: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Signed 64-bit codes of vectors."""
+    """Signed 64-bit words of the codes of vectors, a row each."""
     mean, projection = model
     bits = (unit(rows) - mean) @ projection >= 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
 def _matrix(lists: pa.Array, d: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def learn(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """One model per vector length. Lengths that the sample lacks get a random rotation, which is right too, if less apt."""
+def learn(classes: DataFrame, threshold: float) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int, int]:
+    """(one model per vector length, tables, most differing bits). Lengths of which the sample has too few get random rotations
+    about zero."""
     lengths = [r[0] for r in classes.select(F.size("embedding").alias("d")).distinct().limit(65).collect()]
     if len(lengths) > 64:
         raise ValueError("embeddings of more than 64 lengths in one table")
-    models = {}
     if not lengths:
-        return models
+        return {}, TABLES, MAX_BITS
     bound = max(64, min(FIT_ROWS, FIT_VALUES // max(lengths)))
     sample = sample_by_hash(classes.select("first", "embedding"), "first", bound).select("embedding").toArrow()["embedding"].combine_chunks()
     size = np.array([len(x) for x in sample]) if len(sample) else np.zeros(0, int)
+    chosen = {}
     for d in lengths:
         own = sample.filter(pa.array(size == d))
-        rows = unit(_matrix(own, d)) if len(own) else unit(np.random.default_rng(d).normal(size=(256, d)))
-        models[d] = fit(rows)
-    return models
+        few = len(own) < BITS
+        chosen[d] = choose(unit(np.random.default_rng(d).normal(size=(256, d))) if few else unit(_matrix(own, d)), not few, threshold)
+    tables = max(t for _, t, _ in chosen.values())
+    words = -(-tables // TABLES)
+    models = {d: (mean, projection[:, : words * BITS]) for d, ((mean, projection), _, _) in chosen.items()}
+    return models, tables, max(allowed[words - 1] for _, _, allowed in chosen.values())
+
+
+def word_names(models: dict) -> list[str]:
+    """Columns of the words of a code: code, code1, ..."""
+    words = max((p.shape[1] // BITS for _, p in models.values()), default=1)
+    return ["code", *(f"code{w}" for w in range(1, words))]
 
 
 def codes(classes: DataFrame, models: dict) -> DataFrame:
-    """node, d int, code long, embedding."""
-    sent = classes.sparkSession.sparkContext.broadcast(models)
+    """node, d int, the words of the code (longs), embedding."""
+    sent, names = classes.sparkSession.sparkContext.broadcast(models), word_names(models)
 
     def run(batches):
         for batch in batches:
             vectors = batch["embedding"]
             d = np.array(vectors.value_lengths())
-            code = np.zeros(len(d), dtype=np.int64)
+            code = np.zeros((len(d), len(names)), dtype=np.int64)
             for n in np.unique(d):
                 at = d == n
                 code[at] = encode(_matrix(vectors.filter(pa.array(at)), n), sent.value[int(n)])
-            yield pa.RecordBatch.from_arrays(
-                [batch["node"], pa.array(d.astype(np.int32)), pa.array(code), vectors], names=["node", "d", "code", "embedding"]
-            )
+            words = [pa.array(np.ascontiguousarray(w)) for w in code.T]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(d.astype(np.int32)), *words, vectors], names=["node", "d", *names, "embedding"])
 
     element = classes.schema["embedding"].dataType.simpleString()
-    return classes.select("node", "embedding").mapInArrow(run, f"node long, d int, code long, embedding {element}")
+    return classes.select("node", "embedding").mapInArrow(run, f"node long, d int, {', '.join(f'{c} long' for c in names)}, embedding {element}")
 
 
 def _substring(code: str, t: str) -> str:
-    """SQL for the t-th substring of a code."""
+    """SQL for the t-th substring of a word of a code."""
     width = BITS // TABLES
     return f"(shiftrightunsigned({code}, {t} * {width}) & {(1 << width) - 1}L)"
 
@@ -162,36 +235,39 @@ def pivots(coded: DataFrame, threshold: float) -> DataFrame:
     return found
 
 
-def candidates(coded: DataFrame) -> DataFrame:
-    """(u, v), u < v: pairs of codes that meet in a table and differ in at most MAX_BITS bits, each once. `coded` has node, d, code
-    and pivot; pairs of one pivot are left out."""
+def candidates(coded: DataFrame, names: list[str], tables: int, max_bits: int) -> DataFrame:
+    """(u, v), u < v: pairs of codes that meet in a table and differ in at most `max_bits` bits, each once. `coded` has node, d, the
+    words of the code and pivot; pairs of one pivot are left out."""
     width = BITS // TABLES
-    probes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t in range(TABLES) for m in [0, *(1 << b for b in range(width))]])
-    rows = coded.select("node", "d", "code", "pivot", F.explode(probes).alias("p")).select(
-        "node", "code", "pivot", "d", F.col("p.t").alias("t"), F.expr(f"{_substring('code', 'p.t')} ^ p.m").alias("key")
-    )
-    a = rows.select(F.col("node").alias("u"), F.col("code").alias("x"), F.col("pivot").alias("p"), "d", "t", "key")
-    b = rows.select(
-        F.col("node").alias("v"), F.col("code").alias("y"), F.col("pivot").alias("q"), F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("key").alias("key2")
+    own = F.array(*[F.struct(F.lit(t).alias("t"), F.expr(_substring(names[t // TABLES], str(t % TABLES))).alias("s")) for t in range(tables)])
+    probes = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(width))]])
+    rows = coded.select("node", "d", "pivot", *names, F.explode(own).alias("o")).select("*", F.explode(probes).alias("m"))
+    side = lambda names_of: rows.select(
+        *[F.expr(e).alias(n) for e, n in zip(["node", "pivot", "d", "o.t", "o.s", "o.s ^ m", *names], names_of, strict=True)]
     )
-    first = " AND ".join(f"(t <= {t} OR bit_count({_substring('(x ^ y)', str(t))}) > 2)" for t in range(TABLES - 1))
-    here = _substring("(x ^ y)", "t")
+    a = side(["u", "p", "d", "t", "s", "key", *(f"x{w}" for w in range(len(names)))])
+    b = side(["v", "q", "d2", "t2", "s2", "key2", *(f"y{w}" for w in range(len(names)))])
+    apart = [f"(x{w} ^ y{w})" for w in range(len(names))]
+    total = " + ".join(f"bit_count({x})" for x in apart)
+    first = "".join(f" AND (t <= {t} OR bit_count({_substring(apart[t // TABLES], str(t % TABLES))}) > 2)" for t in range(tables - 1))
     #: of the keys that both reach, the one whose distance to u's own substring is the lowest differing bit, or nothing
-    only = f"(key ^ {_substring('x', 't')}) = CASE WHEN bit_count({here}) = 2 THEN {here} & -{here} ELSE 0L END"
-    on = F.expr(f"d = d2 AND t = t2 AND key = key2 AND u < v AND p <> q AND bit_count(x ^ y) <= {MAX_BITS} AND {only} AND {first}")
+    only = "(key ^ s) = CASE WHEN bit_count(s ^ s2) = 2 THEN (s ^ s2) & -(s ^ s2) ELSE 0L END"
+    on = F.expr(f"d = d2 AND t = t2 AND key = key2 AND u < v AND p <> q AND {total} <= {max_bits} AND {only}{first}")
     return a.join(b, on).select("u", "v")
 
 
 def links(classes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two tables of links between classes: (node, pivot), where the nodes of one pivot link pairwise, a row per node; and
     (u, v), u < v, of the other pairs with a cosine of at least `threshold`."""
-    coded = cut(codes(classes, learn(classes)), "codes")
+    models, tables, max_bits = learn(classes, threshold)
+    names = word_names(models)
+    coded = cut(codes(classes, models), "codes")
     near = pivots(coded, threshold)
     grouped = coded.select("node").join(near, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
     grouped = cut(grouped, "groups")
     one = coded.select(F.col("node").alias("u"), F.col("embedding").alias("a"))
     two = coded.select(F.col("node").alias("v"), F.col("embedding").alias("b"))
-    met = candidates(coded.select("node", "d", "code").join(grouped, "node"))
+    met = candidates(coded.select("node", "d", *names).join(grouped, "node"), names, tables, max_bits)
     return grouped, _close(met.join(one, "u").join(two, "v"), threshold, ["u", "v"])
 
 

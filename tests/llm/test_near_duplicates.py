@@ -136,6 +136,23 @@ def test_embeddings_against_brute_force(spark, d):
     assert all(want[got[i].component_id] == want[i] for i in got)
 
 
+@pytest.mark.parametrize(("d", "common"), [(64, 0.0), (64, 0.7), (64, 0.8), (16, 0.8)])
+def test_recall_at_the_threshold(spark, d, common):
+    """Pairs at a cosine of 0.90 to 0.92 whose vectors share a direction, so that their mean has the length `common`."""
+    rng, n = np.random.default_rng(7), 1500
+    x = np.sqrt(1 - common**2) * itq.unit(rng.normal(size=(n, d)))
+    x = itq.unit(x + common * np.eye(d)[0])
+    aside = rng.normal(size=(n, d))
+    aside = itq.unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    cosine = rng.uniform(0.9, 0.92, (n, 1))
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * aside])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [r.n_links for r in itq.near_duplicates(df).orderBy("vec_id").collect()]
+    linked = ((itq.unit(x) @ itq.unit(x).T) >= 0.9 + 1e-12).sum(axis=1) - 1
+    print(d, common, sum(got) / linked.sum())
+    assert sum(got) >= 0.97 * linked.sum()
+
+
 def test_embeddings_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
