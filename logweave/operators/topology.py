@@ -36,19 +36,27 @@ def unstored_topics(topics: DataFrame, components: DataFrame) -> DataFrame:
     return topics.select(F.col("name").alias("topic")).join(stored, "topic", "left_anti")
 
 
-def cyclic_topics(components: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cyclic_topics(components: DataFrame) -> DataFrame:
     """Topics on a cycle of processors, or between cycles: what is left when topics without way in or way out are peeled off.
 
-    The edges are a configuration table; each round is one small join, and the depth of a topology bounds the rounds."""
+    The edges are a configuration table; each of them is looked at once per end, so chains may be as long as they like."""
     edges = components.where("input_topic is not null and output_topic is not null").select(F.col("input_topic").alias("a"), F.col("output_topic").alias("b")).distinct()
     rows = [(r.a, r.b) for r in edges.limit(100_001).collect()]
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 edges are no configuration table")
-    left = set(rows)
-    for _ in range(max_rounds):
-        into, out = {b for _, b in left}, {a for a, _ in left}
-        kept = {(a, b) for a, b in left if a in into and b in out}
-        if kept == left:
-            break
-        left = kept
-    return components.sparkSession.createDataFrame([(t,) for t in sorted({x for e in left for x in e})], "topic string")
+    left = {t for e in rows for t in e}
+    for ends in (rows, [(b, a) for a, b in rows]):
+        after, ways_in = {}, dict.fromkeys(left, 0)
+        for a, b in ends:
+            if a in left and b in left:
+                after.setdefault(a, []).append(b)
+                ways_in[b] += 1
+        bare = [t for t, n in ways_in.items() if not n]
+        while bare:
+            t = bare.pop()
+            left.discard(t)
+            for b in after.get(t, ()):
+                ways_in[b] -= 1
+                if not ways_in[b]:
+                    bare.append(b)
+    return components.sparkSession.createDataFrame([(t,) for t in sorted(left)], "topic string")

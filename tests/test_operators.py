@@ -212,3 +212,13 @@ def test_streamed_store_and_offsets(spark, tmp_path, sf_dir):
 def test_no_partition_means_no_row(spark, partitions):
     rows = spark.createDataFrame([(0, "e/p/0/1"), (0, "e/_watermark")], "partition int, key_expr string")
     assert L.subscribe(rows, partitions=partitions).count() == len(partitions)
+
+
+def test_a_long_chain_of_topics_has_no_cycle(spark):
+    from logweave.operators import topology
+
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(2500)]
+    loops = [("x", "y"), ("y", "x"), ("y", "m"), ("m", "z"), ("z", "z"), ("z", "c0"), ("c0", "d")]
+    for rows, want in ((chain, []), (chain + loops, ["m", "x", "y", "z"])):
+        got = topology.cyclic_topics(spark.createDataFrame(rows, "input_topic string, output_topic string"))
+        assert [r.topic for r in got.collect()] == want
