@@ -48,11 +48,14 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
 
 
+FOLDED = 0x2FA20
+
+
 @lru_cache(1)
 def _table() -> np.ndarray:
-    """Folded code point of each code point below 2^16."""
-    table = np.arange(1 << 16, dtype=np.uint32)
-    for c in range(0x80, 1 << 16):
+    """Folded code point of each code point below FOLDED, where the last that NFKC changes into one lies."""
+    table = np.arange(FOLDED, dtype=np.uint32)
+    for c in range(0x80, FOLDED):
         if 0xD800 <= c < 0xE000:
             continue
         wide = unicodedata.normalize("NFKC", chr(c))
@@ -71,10 +74,10 @@ def _table() -> np.ndarray:
 
 
 def fold(text: str) -> str:
-    """The folded text, of the same length; characters beyond 2^16 stay as they are."""
+    """The folded text, of the same length; characters from FOLDED on stay as they are."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    low = _table()[np.minimum(cp, 0xFFFF)]
-    return np.where(cp > 0xFFFF, cp, low).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    low = _table()[np.minimum(cp, FOLDED - 1)]
+    return np.where(cp >= FOLDED, cp, low).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @dataclass

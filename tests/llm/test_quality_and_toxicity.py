@@ -180,6 +180,11 @@ def test_folding_keeps_length():
     assert len(low) == len(text) and low.split()[0] == "idiot" and "idiot" in low and low.startswith("idiot idiot moron") and low.endswith("scum")
 
 
+def test_styled_letters_beyond_two_bytes_fold():
+    bold, script, boxed = ("".join(chr(first + ord(c) - ord("a")) for c in "idiot") for first in (0x1D41A, 0x1D4EA, 0x1F130))
+    assert toxicity.fold(f"{bold} {script} {boxed} \U0001d7cfd\U0001d7cf0t \U0001f600") == "idiot idiot idiot idiot \U0001f600"
+
+
 def naive(text, lexicon):
     """Every entry at every place, by the same rules, without an automaton."""
     low, n = toxicity.fold(text), len(text)
