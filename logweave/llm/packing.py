@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 MAX_TOKENS = 2048
 END_OF_DOCUMENT = 1
+#: The token that byte_bpe_50k.json has beside its ranks, which the tokenizer of that file finds in any text.
+ADDED_TOKENS = (("<|endoftext|>", 50256),)
 
 
 def pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -45,22 +47,24 @@ def tokenizer_files() -> tuple[str, str]:
 
 
 @lru_cache(4)
-def encoder(ranks_file: str, pattern: str):
-    """Encoder for a file of base64 tokens and their ids. Its ids are those of the same vocabulary in other libraries."""
+def encoder(ranks_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """Encoder for a file of base64 tokens and their ids. Its ids are those of the same vocabulary in other libraries, whose
+    added tokens are `added`; strings that look like other special tokens are ordinary text."""
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(token): int(i) for token, i in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 def token_ids(text: str | None, enc) -> np.ndarray:
-    """Ids of a whole text; strings that look like special tokens are ordinary text."""
+    """Ids of a whole text."""
     if not text:
         return np.zeros(0, dtype=np.uint32)
-    return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+    return np.asarray(enc.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, files: tuple[str, str] | None = None, emit_ids: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, files: tuple[str, str] | None = None, emit_ids: bool = True,
+    added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """Pieces of all documents.
 
@@ -68,7 +72,8 @@ def pack(
     doc_tokens long (with the closing id), bucket int, ids array<int> (unless emit_ids is off), sequence_id long, offset
     long (0, as each sequence is one piece). Null and empty texts are the closing id alone, one piece of length 1. A null
     id stays null; repeated rows are packed once each. Other columns are ignored whatever their names. An empty table
-    gives an empty result. `max_tokens` is a power of two.
+    gives an empty result. `max_tokens` is a power of two. `added` tokens (text, id) are found in texts; without them such strings
+    are ordinary text.
 
     sequence_id is made of the task, the piece's place in it and the bucket: distinct without a shuffle or a count, and
     the same whenever a task is run again on the same split."""
@@ -78,7 +83,7 @@ def pack(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        enc = encoder(*files)
+        enc = encoder(*files, added)
         for batch in batches:
             yield from _packed(batch, enc, max_tokens, emit_ids)
 
@@ -128,4 +133,4 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 def op3_pow2_packing(spark, sf_dir: str) -> DataFrame:
     """All documents, with digests of the pieces in place of their ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, emit_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(docs, emit_ids=False, added=ADDED_TOKENS).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

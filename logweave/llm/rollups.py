@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, scratch_dir
-from .packing import encoder, tokenizer_files
+from .packing import ADDED_TOKENS, encoder, token_ids, tokenizer_files
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -119,10 +119,12 @@ def _signed(counted: DataFrame, tokenizer: str, docs, tokens) -> DataFrame:
     return counted.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), docs.cast("long").alias("docs"), tokens.cast("long").alias("tokens"))
 
 
-def count_tokens(docs: DataFrame, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
+                 added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, source, lang, digest binary (md5 of the text), words long, tokens long per row of `docs`, texts read whole.
 
-    A map: null texts count as empty ones, with no words and no tokens; repeated rows are counted each."""
+    A map: null texts count as empty ones, with no words and no tokens; repeated rows are counted each.
+    `added` as in packing."""
     files = files or tokenizer_files()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -132,13 +134,13 @@ def count_tokens(docs: DataFrame, files: tuple[str, str] | None = None, id_col:
     held = ["doc_id", "source", "lang", "digest"]
 
     def run(batches):
-        enc = encoder(*files)
+        enc = encoder(*files, added)
         for batch in batches:
             words, tokens = [], []
             for t in batch["text"]:
                 t = t.as_py()
                 words.append(len(t.encode("utf-8", "replace").split()))
-                tokens.append(len(enc.encode_to_numpy(t, disallowed_special=())))
+                tokens.append(len(token_ids(t, enc)))
             numbers = [pa.array(np.array(x, dtype=np.int64)) for x in (words, tokens)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in held), *numbers], names=[*held, "words", "tokens"])
 
@@ -160,7 +162,7 @@ def op10_token_rollups(spark, sf_dir: str) -> DataFrame:
     """Totals after five commits over all documents: tokens of all, words of all, token counts revised to hold the closing id of
     each document, later copies deleted under both versions, and two of these batches delivered again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = cut(count_tokens(docs).withColumn("closed", F.col("tokens") + 1), "counts")
+    counted = cut(count_tokens(docs, added=ADDED_TOKENS).withColumn("closed", F.col("tokens") + 1), "counts")
     copies = cut(later_copies(counted), "copies")
     rollup = Rollup(spark, f"{scratch_dir(spark)}/logweave/rollup-{uuid.uuid4().hex}")
     tokens, words = inserted(counted, BPE), inserted(counted, WORDS, "words")

@@ -349,3 +349,20 @@ def test_pipeline_classifier_rejects_junk_that_passes_the_rules(spark, docs, sf_
     stage = dict(corpus_pipeline.STAGES)["quality classifier"]
     after = {r.doc_id for r in stage(spark, good.unionByName(planted), sf_dir).collect()}
     assert 10**9 not in after and len(after) > 0.95 * good.count()
+
+
+def test_queries_find_the_added_token(spark, sf_dir, tmp_path):
+    """As the tokenizer of the file does as it comes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda text: [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+    texts = list(enumerate(["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  \n y", "<|endoftext| >", "none", "", "it's<|endoftext|>'s <|fim|>"]))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert 50256 in ids(texts[0][1])
+    check_pieces(packing.op3_pow2_packing(spark, str(tmp_path)).collect(), texts, ids)
+    check_pieces(corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect(), texts, ids)
+    total = [r.tokens for r in rollups.op10_token_rollups(spark, str(tmp_path)).collect() if r.tokenizer == rollups.BPE]
+    assert total == [sum(len(ids(t)) for _, t in texts)]
