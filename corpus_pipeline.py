@@ -17,8 +17,8 @@ from logweave.llm.common import cut, unused
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no base rule and no likelihood ratio rejects."""
-    rules = quality_rules.fit(docs, quality_rules.trusted_ids(spark, sf_dir))
-    return quality_rules.judge(docs, rules, prefix="__q_").where("__q_kept").drop(*[f"__q_{c}" for c in quality_rules.RESULTS])
+    rules, prefix = quality_rules.fit(docs, quality_rules.trusted_ids(spark, sf_dir)), quality_rules.free_prefix(docs.columns)
+    return quality_rules.judge(docs, rules, prefix=prefix).where(F.col(f"{prefix}kept")).drop(*[prefix + c for c in quality_rules.RESULTS])
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,29 +3,40 @@
 Each line has counts and ratios of its own characters and words plus those of the line before and after it. Two states, a
 score of the good state per line and four transition scores; forward-backward gives each line's marginal, and a document's
 quality is the mean of its lines' marginals weighted by length. Training is convex and runs on the driver over a bounded
-sample (`TRAIN_DOCS` documents of `TRAIN_LINES` lines at most); scoring is a map over rows without a shuffle."""
+sample (`TRAIN_LINES` lines in a row of each of `TRAIN_DOCS` documents at most); scoring is a map over rows without a shuffle.
+
+Memory: short texts are scored together up to `BLOCK` characters, longer ones in blocks of whole lines, so a worker holds its
+batch and some tens of bytes per character of a block; of a long text it holds numbers per line beside."""
 
 from __future__ import annotations
 
 import logging
+import math
+import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sample_by_hash, text_chunks
+from .common import one_text_per_id, sample_by_hash, text_chunks, text_slices
 
-#: The sample that the field is fitted on: so many labelled documents at most, longer ones than TRAIN_LINES left out.
-TRAIN_DOCS, TRAIN_LINES = 4000, 400
+#: The sample that the field is fitted on: so many labelled documents at most, so many lines in a row of each.
+TRAIN_DOCS, TRAIN_LINES = 4000, 64
+#: Characters that are taken at once.
+BLOCK = 1 << 17
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 PREDICT_FROM = 0.3
-LOWER, UPPER, DIGIT, SYMBOL, BANG, PIPE, PUNCT, BLANK, OTHER = range(9)
+LOWER, UPPER, DIGIT, SYMBOL, BANG, PIPE, PUNCT, BLANK, OTHER, BREAK = range(10)
 OWN = 14
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @lru_cache(1)
@@ -38,58 +49,104 @@ def _classes() -> np.ndarray:
     table[[ord(c) for c in "#*$%&<>"]] = SYMBOL
     table[ord("!")], table[ord("|")] = BANG, PIPE
     table[[0x20, *range(0x09, 0x0E)]] = BLANK
+    table[0x0A] = BREAK
     return table
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    p = 0x9E3779B97F4A7C15
-    with np.errstate(over="ignore"):
-        make = lambda x: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, dtype=np.uint64))])
-        return make(np.uint64(p)), make(np.uint64(pow(p, -1, 1 << 64)))
-
-
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(own features per line, lengths of lines in characters of words, lines per text) of texts, all lines in order."""
-    counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
-    cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n_lines, size = int(counts.sum()), len(cp)
-    if not size:
-        own = np.zeros((n_lines, OWN), np.float32)
-        own[:, 13] = 1  # as for any line without a word
-        return own, np.zeros(n_lines), counts
-    kind = _classes()[np.minimum(cp, 0xFFFF).astype(np.uint16)]
-    ends = np.concatenate([np.flatnonzero(cp == 10), [size]])
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    line_of = np.repeat(np.arange(n_lines, dtype=np.int32), np.diff(np.concatenate([starts, [size + 1]])))[:size]
-    by = np.bincount(line_of.astype(np.int64) * 9 + kind, minlength=n_lines * 9).reshape(n_lines, 9).astype(np.float64)
+def _words(line: bytes) -> tuple[int, int, int]:
+    """(words, distinct words, words equal to the one before) of a line; a long line is cut at blanks, so that few of its words
+    are held as objects."""
+    if len(line) <= BLOCK:
+        words = line.split()
+        return len(words), len(set(words)), sum(map(bytes.__eq__, words[1:], words))
+    n = again = at = 0
+    last, digests = None, []
+    while at < len(line):
+        gap = _BLANK.search(line, at + BLOCK)
+        end = gap.start() if gap else len(line)
+        words = line[at:end].split()
+        if words:
+            again += sum(map(bytes.__eq__, words[1:], words)) + (words[0] == last)
+            digests.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
+            n, last = n + len(words), words[-1]
+        at = end + 1
+    return n, len(np.unique(np.concatenate(digests))) if digests else 0, again
+
+
+def _kinds(text: str) -> np.ndarray:
+    return _classes()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)]
+
+
+def _own(text: str, lines: list[bytes], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(own features, lengths in characters of words) of the lines of one text or of several that line ends part. `repeated`: flag
+    per line, whether its text has it twice or more."""
+    n_lines, by = len(lines), np.zeros((len(lines), 9))
+    if n_lines == 1:  # counted in parts, so that a long line costs no array of its length
+        for i in range(0, len(text), BLOCK):
+            by[0] += np.bincount(_kinds(text[i : i + BLOCK]), minlength=9)
+    elif text:
+        kind = _kinds(text)
+        ends = np.flatnonzero(kind == BREAK)
+        line_of = np.repeat(np.arange(n_lines), np.diff(np.concatenate([[0], ends + 1, [len(kind)]])))
+        by[:] = np.bincount(line_of * 10 + kind, minlength=n_lines * 10).reshape(n_lines, 10)[:, :9]
     ink = by.sum(axis=1) - by[:, BLANK]
-
-    power, inverse = _powers(1 << (max(size, 1 << 16) - 1).bit_length())
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * power[:size])])
-        span = lambda a, b: (total[b] - total[a]) * inverse[np.minimum(a, size - 1)]
-        inside = np.concatenate([[False], kind != BLANK, [False]])
-        first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
-        words, at = span(first, last), line_of[first] if len(first) else np.zeros(0, np.int32)
-        _, new = np.unique(words ^ (at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)
-        doc_of = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
-        whole = span(starts, ends) ^ (doc_of * np.uint64(0xD1B54A32D192ED03))
-    n_words = np.bincount(at, minlength=n_lines)
-    distinct = np.bincount(at[new], minlength=n_lines)
-    again = np.bincount(at[1:][(words[1:] == words[:-1]) & (at[1:] == at[:-1])], minlength=n_lines)
-    _, back, often = np.unique(whole, return_inverse=True, return_counts=True)
-
+    n_words, distinct, again = np.array([_words(x) for x in lines], dtype=np.float64).reshape(-1, 3).T
     full, w = np.maximum(ink, 1), np.maximum(n_words, 1)
     own = np.empty((n_lines, OWN), dtype=np.float32)
     own[:, 0], own[:, 1], own[:, 2] = np.log1p(ink), np.log1p(n_words), np.minimum(ink / w, 40)
     for j, k in enumerate((SYMBOL, UPPER, DIGIT, PUNCT, BANG, PIPE, OTHER)):
         own[:, 3 + j] = by[:, k] / full
-    own[:, 10], own[:, 11], own[:, 12], own[:, 13] = distinct / w, again / w, (often[back] > 1) & (n_words > 0), n_words == 0
+    own[:, 10], own[:, 11], own[:, 12], own[:, 13] = distinct / w, again / w, repeated & (n_words > 0), n_words == 0
+    return own, ink
+
+
+def _encoded(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split(b"\n")
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own features per line, lengths of lines in characters of words, lines per text) of short texts, all lines in order."""
+    parts = [_encoded(t) for t in texts]
+    counts = np.array([len(p) for p in parts], dtype=np.int64)
+    lines = [x for p in parts for x in p]
+    repeated = np.zeros(len(lines), bool)
+    at = 0
+    for p in parts:
+        if len(set(p)) < len(p):
+            often = Counter(p)
+            repeated[at : at + len(p)] = [often[x] > 1 for x in p]
+        at += len(p)
+    own, ink = _own("\n".join(texts), lines, repeated)
     return own, ink, counts
 
 
+def blocks(text: str):
+    """A text in parts of whole lines, of BLOCK characters at most or of one line."""
+    at = 0
+    while len(text) - at > BLOCK:
+        end = text.rfind("\n", at, at + BLOCK)
+        end = text.find("\n", at + BLOCK) if end < 0 else end
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def long_features(text: str):
+    """(own features, lengths) of a long text, a block of lines at a time."""
+    digests = np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)) for lines in map(_encoded, blocks(text))])
+    order = np.argsort(digests, kind="stable")
+    same = digests[order][1:] == digests[order][:-1]
+    repeated = np.zeros(len(digests), bool)
+    repeated[order[1:][same]] = repeated[order[:-1][same]] = True
+    at = 0
+    for part in blocks(text):
+        lines = _encoded(part)
+        yield _own(part, lines, repeated[at : at + len(lines)])
+        at += len(lines)
+
+
 def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Own features, those of the line before and after (zero at a text's ends), and a flag for either end."""
     first = np.cumsum(counts) - counts
@@ -101,6 +158,19 @@ def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after, start[:, None], end[:, None]], axis=1)
 
 
+def with_context(parts):
+    """Blocks of (own features, lengths) of one text as (features with their neighbours', lengths)."""
+    before = held = None
+    for part in chain(parts, [None]):
+        if held is not None:
+            own, ink = held
+            rows = [x for x in (before, own, part and part[0][:1]) if x is not None]
+            first = 0 if before is None else 1
+            yield with_neighbours(np.concatenate(rows), np.array([sum(map(len, rows))]))[first : first + len(own)], ink
+            before = own[-1:]
+        held = part
+
+
 @dataclass
 class Field:
     """A fitted field: standardisation, line weights with the bias last, transition scores [from, to]."""
@@ -110,29 +180,74 @@ class Field:
     weights: np.ndarray
     moves: np.ndarray
 
+    def scores(self, near: np.ndarray) -> np.ndarray:
+        """Score of the good state per line, from features with the neighbours'."""
+        w = self.weights[:-1] / self.scale
+        return near @ w + (self.weights[-1] - self.mean @ w)
+
     def line_scores(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        x = (with_neighbours(own, counts) - self.mean) / self.scale
-        return x @ self.weights[:-1] + self.weights[-1]
+        return self.scores(with_neighbours(own, counts))
+
+
+def line_odds(texts: list[str], field: Field):
+    """(from, to, scores of the good state, lengths, lines per text) of a list of texts, some at a time."""
+    for a, b in text_chunks(texts, BLOCK):
+        if len(texts[a]) > BLOCK:
+            parts = [(field.scores(near), ink) for near, ink in with_context(long_features(texts[a]))]
+            u, ink = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield a, b, u, ink, np.array([len(u)])
+        else:
+            own, ink, counts = line_features(texts[a:b])
+            yield a, b, field.line_scores(own, counts), ink, counts
 
 
 def _soft(a, b):
     return np.logaddexp(a, b)
 
 
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
+def _alone(forward: np.ndarray, backward: np.ndarray, u: np.ndarray, a: int, b: int, moves: np.ndarray, part: int = 1 << 16) -> None:
+    """Messages of the lines a to b, exclusive, of one text: those forward from line a - 1 on, those backward down to it."""
+    (m00, m01), (m10, m11) = moves.tolist()
+    r, s = float(forward[a - 1]), float(u[b - 1])
+    for i in range(a, b, part):
+        out = []
+        for x in u[i : min(i + part, b)].tolist():
+            r = x + _log_sum(m01, r + m11) - _log_sum(m00, r + m10)
+            out.append(r)
+        forward[i : i + len(out)] = out
+    for i in range(b - 1, a - 1, -part):  # line i sends to line i - 1
+        low, out = max(i - part, a - 1), []
+        for x in u[low:i][::-1].tolist():
+            s = _log_sum(m10, m11 + s) - _log_sum(m00, m01 + s)
+            out.append(s)
+            s += x
+        backward[low:i] = out[::-1]
+
+
 def _messages(u: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of the good state from the lines up to each line, and from the lines after it.
 
-    Texts run side by side, the longest first, so step t touches the texts that have a line t."""
+    Texts run side by side, the longest first, so step t touches the texts that have a line t; what only the longest has, it
+    runs alone."""
     first = np.cumsum(counts) - counts
     order = np.argsort(-counts, kind="stable")
     first, length = first[order], counts[order]
     forward, backward = np.array(u, dtype=np.float64), np.zeros(len(u))
-    alive = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # texts with more than t lines
-    for t in range(1, len(alive)):
+    if not len(length):
+        return forward, backward
+    shared = int(length[1]) if len(length) > 1 else 1
+    alive = np.searchsorted(-length, -np.arange(shared), side="left")  # texts with more than t lines
+    for t in range(1, shared):
         at = first[: alive[t]] + t
         r = forward[at - 1]
         forward[at] += _soft(moves[0, 1], r + moves[1, 1]) - _soft(moves[0, 0], r + moves[1, 0])
-    for t in range(len(alive) - 1, 0, -1):
+    if length[0] > shared:
+        _alone(forward, backward, u, int(first[0]) + shared, int(first[0] + length[0]), moves)
+    for t in range(shared - 1, 0, -1):
         at = first[: alive[t]] + t
         s = u[at] + backward[at]
         backward[at - 1] = _soft(moves[1, 0], moves[1, 1] + s) - _soft(moves[0, 0], moves[0, 1] + s)
@@ -149,12 +264,15 @@ def marginals(u: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> np.ndarra
     return _logistic(forward + backward)
 
 
-def train(own: np.ndarray, counts: np.ndarray, label: np.ndarray) -> Field:
-    """Fit on lines whose text is labelled. Lines first take their text's label; then those of bad texts that the field finds
-    good on their own are turned, and the fit is repeated: junk often follows an ordinary line."""
-    x = with_neighbours(own, counts).astype(np.float64)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    x = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+def train(near: np.ndarray, counts: np.ndarray, label: np.ndarray) -> Field:
+    """Fit on chains of lines (features with the neighbours') whose text is labelled. Lines first take their text's label; then
+    those of bad texts that the field finds good on their own are turned, and the fit is repeated: junk often follows an
+    ordinary line."""
+    x = np.ones((len(near), near.shape[1] + 1))
+    x[:, :-1] = near
+    mean, scale = x[:, :-1].mean(axis=0), x[:, :-1].std(axis=0) + 1e-6
+    x[:, :-1] -= mean
+    x[:, :-1] /= scale
     y = np.repeat(label.astype(np.float64), counts)
     field = Field(mean, scale, np.zeros(x.shape[1]), np.zeros((2, 2)))
     first = np.cumsum(counts) - counts
@@ -190,40 +308,55 @@ def neutral() -> Field:
     return Field(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)))
 
 
+def window(text: str) -> tuple[np.ndarray, bool]:
+    """(own features of at most TRAIN_LINES lines in a row, from a place that the text's hash chooses, and of the line on either
+    side; whether there is one before)."""
+    n = text.count("\n") + 1
+    start = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % (n - TRAIN_LINES + 1) if n > TRAIN_LINES else 0
+    low, high = max(start - 1, 0), min(start + TRAIN_LINES + 1, n)
+    parts, at = [], 0
+    for own, _ in long_features(text):
+        parts.append(own[max(low - at, 0) : max(high - at, 0)].copy())
+        at += len(own)
+    return np.concatenate(parts), start > 0
+
+
+def chains(windows: list[tuple[np.ndarray, bool, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features with the neighbours', lines per chain) of windows (own features, whether the first is only a neighbour, lines)."""
+    near = [with_neighbours(own, np.array([len(own)]))[before : before + n] for own, before, n in windows]
+    return np.concatenate(near), np.array([len(x) for x in near])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Fit on the rows of `labels` (id, 0 or 1) that `docs` has. Null ids and labels are left out; of repeated ids one label counts,
-    the largest. Without both labels the field is neutral, and a warning is logged."""
+    the largest, and one text. Without both labels the field is neutral, and a warning is logged."""
     named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
     named = sample_by_hash(named.groupBy("__id").agg(F.max("__y").alias("__y")), "__id", TRAIN_DOCS)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(named), "__id").select("text", "__y")
+    rows = one_text_per_id(docs, named, "__y", id_col, text_col).select("text", "__y")
 
     def run(batches):
         for batch in batches:
-            texts, ys = [t or "" for t in batch["text"].to_pylist()], batch["__y"].to_pylist()
-            for a, b in text_chunks(texts):
-                own, _, counts = line_features(texts[a:b])
-                ends = np.cumsum(counts)
-                out = [(y, own[e - n : e].tobytes()) for y, n, e in zip(ys[a:b], counts, ends, strict=True) if n <= TRAIN_LINES]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([y for y, _ in out], pa.int32()), pa.array([f for _, f in out], pa.binary())], names=["y", "f"]
-                )
-
-    got = rows.mapInArrow(run, "y int, f binary").collect()
+            for at, texts in text_slices(batch["text"], BLOCK):
+                found = [(*window(t), min(t.count("\n") + 1, TRAIN_LINES)) for t in texts]
+                arrays = [batch["__y"].slice(at, len(texts)), pa.array([own.tobytes() for own, _, _ in found], pa.binary())]
+                arrays += [pa.array([int(before) for _, before, _ in found], pa.int32()), pa.array([n for _, _, n in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["y", "f", "before", "n"])
+
+    got = rows.mapInArrow(run, "y int, f binary, before int, n int").collect()
     y = np.array([r.y for r in got])
     if not len(y) or y.min() == y.max():
         logging.getLogger(__name__).warning("%d labelled documents, of labels %s: the field is neutral and rejects nothing", len(y), sorted({*y.tolist()}))
         return neutral()
-    got.sort(key=lambda r: (r.y, bytes(r.f)))  # the same sums in any order of arrival
-    y, own = np.array([r.y for r in got]), [np.frombuffer(r.f, np.float32).reshape(-1, OWN) for r in got]
-    return train(np.concatenate(own), np.array([len(f) for f in own]), y)
+    got.sort(key=lambda r: (r.y, r.before, r.n, bytes(r.f)))  # the same sums in any order of arrival
+    near, counts = chains([(np.frombuffer(r.f, np.float32).reshape(-1, OWN), r.before, r.n) for r in got])
+    return train(near, counts, np.array([r.y for r in got]))
 
 
 def score_texts(texts: list[str | None], field: Field) -> np.ndarray:
     """Quality of each text: length-weighted mean of its lines' marginals; 0 where it has no word."""
     texts, out = [t or "" for t in texts], np.zeros(len(texts))
-    for a, b in text_chunks(texts):
-        own, ink, counts = line_features(texts[a:b])
-        p = marginals(field.line_scores(own, counts), counts, field.moves)
+    for a, b, u, ink, counts in line_odds(texts, field):
+        p = marginals(u, counts, field.moves)
         cuts = np.cumsum(counts) - counts
         out[a:b] = np.add.reduceat(p * ink, cuts) / np.maximum(np.add.reduceat(ink, cuts), 1)
     return np.clip(out, 0.0, 1.0)
@@ -240,7 +373,7 @@ def classify(
 
     def run(batches):
         for batch in batches:
-            scores = score_texts(batch[text_col].to_pylist(), sent.value)
+            scores = np.concatenate([score_texts(texts, sent.value) for _, texts in text_slices(batch[text_col], BLOCK)] or [np.zeros(0)])
             out = pa.RecordBatch.from_arrays([*(batch[c] for c in held), pa.array(scores)], names=[*held, score_col])
             yield out if keep_from is None else out.filter(pa.array(scores >= keep_from))
 
@@ -257,17 +390,16 @@ def label_lines(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for a, b in text_chunks(texts):
-                own, _, counts = line_features(texts[a:b])
-                p = marginals(sent.value.line_scores(own, counts), counts, sent.value.moves)
-                size = np.array([len(x) for t in texts[a:b] for x in t.split("\n")], dtype=np.int64)
-                first = np.repeat(np.cumsum(counts) - counts, counts)
-                upto = np.cumsum(size + 1) - (size + 1)
-                start = upto - upto[first]
-                of = np.repeat(np.arange(a, b), counts)
-                arrays = [batch["doc_id"].take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (np.arange(len(p)) - first, start, start + size)), pa.array(p), pa.array(p >= good_from)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "line", "start", "end", "p_good", "good"])
+            for at, texts in text_slices(batch["text"], BLOCK):
+                for a, b, u, _, counts in line_odds(texts, sent.value):
+                    p = marginals(u, counts, sent.value.moves)
+                    size = np.array([len(x) for t in texts[a:b] for x in t.split("\n")], dtype=np.int64)
+                    first = np.repeat(np.cumsum(counts) - counts, counts)
+                    upto = np.cumsum(size + 1) - (size + 1)
+                    start = upto - upto[first]
+                    of = at + np.repeat(np.arange(a, b), counts)
+                    arrays = [batch["doc_id"].take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (np.arange(len(p)) - first, start, start + size)), pa.array(p), pa.array(p >= good_from)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "line", "start", "end", "p_good", "good"])
 
     fields = [T.StructField(c, T.IntegerType()) for c in ("line", "start", "end")]
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("p_good", T.DoubleType()), T.StructField("good", T.BooleanType())]))

@@ -8,6 +8,7 @@ batches of one shape are drawn. Cutting looks at one document at a time, so pack
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 
 MAX_TOKENS = 2048
 END_OF_DOCUMENT = 1
+#: Runs of the characters with the property White_Space.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100000,}")
 #: The token that byte_bpe_50k.json has beside its ranks, which the tokenizer of that file finds in any text.
 ADDED_TOKENS = (("<|endoftext|>", 50256),)
 
@@ -59,7 +62,27 @@ def token_ids(text: str | None, enc) -> np.ndarray:
     """Ids of a whole text."""
     if not text:
         return np.zeros(0, dtype=np.uint32)
-    return np.asarray(enc.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+    try:
+        return np.asarray(enc.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+    except ValueError:  # the split pattern gives up on a run of some 700,000 blanks
+        return np.fromiter(_in_parts(text, enc), dtype=np.uint32)
+
+
+def _in_parts(text: str, enc):
+    """Ids of a text whose long runs of blanks are taken out, for patterns that end in `\\s+(?!\\S)|\\s+`: they make a run one piece, but for its
+    last blank where something follows. Added tokens part the text before the pattern sees it."""
+    added = sorted(enc.special_tokens_set, key=len, reverse=True)
+    for part in re.split("(" + "|".join(map(re.escape, added)) + ")", text) if added else [text]:
+        if part in enc.special_tokens_set:
+            yield enc.encode_single_token(part)
+            continue
+        at = 0
+        for run in LONG_BLANKS.finditer(part):
+            end = run.end() if run.end() == len(part) else run.end() - 1
+            yield from enc.encode_ordinary(part[at : run.start()])
+            yield from enc._encode_single_piece(part[run.start() : end].encode())
+            at = end
+        yield from enc.encode_ordinary(part[at:])
 
 
 def pack(
@@ -133,4 +156,4 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 def op3_pow2_packing(spark, sf_dir: str) -> DataFrame:
     """All documents, with digests of the pieces in place of their ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, emit_ids=False, added=ADDED_TOKENS).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(docs, emit_ids=False, added=ADDED_TOKENS).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")

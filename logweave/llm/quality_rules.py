@@ -147,6 +147,14 @@ def judge(docs: DataFrame, rules: Rules, text_col: str = "text", prefix: str = "
     return docs.select("*", F.explode(_row(F.col(f"`{text_col}`"), rules)).alias(r)).select(*held, *out)
 
 
+def free_prefix(columns: list[str], prefix: str = "__q_") -> str:
+    """`prefix`, or what comes of it by underscores until none of the columns is named like a result behind it."""
+    taken = {c.lower() for c in columns}
+    while any((prefix + n).lower() in taken for n in RESULTS):
+        prefix += "_"
+    return prefix
+
+
 def trusted_ids(spark, sf_dir: str) -> DataFrame:
     """Documents whose quality the labels vouch for."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")

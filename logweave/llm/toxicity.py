@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, sample_by_hash
+from .common import cut, one_text_per_id, sample_by_hash, text_slices
 from .crf import fold_of
 
-#: Fit on so many labelled documents at most, and learn so many entries at most.
-TRAIN_DOCS, MAX_LEARNED = 20_000, 2000
+#: Fit on so many labelled documents at most.
+TRAIN_DOCS = 20_000
+#: Characters that are folded at once, and bytes of texts that a worker turns into strings at once.
+BLOCK = 1 << 18
 STEM_SIZES = (4, 5, 6, 7, 8, 9)
 #: An entry needs a log-likelihood ratio of so many nats against the base rate, and so large a share of toxic documents.
 MIN_EVIDENCE, MIN_SHARE = 20.0, 0.8
@@ -75,6 +79,10 @@ def _table() -> np.ndarray:
 
 def fold(text: str) -> str:
     """The folded text, of the same length; characters from FOLDED on stay as they are."""
+    return "".join(_folded(text[i : i + BLOCK]) for i in range(0, len(text), BLOCK))
+
+
+def _folded(text: str) -> str:
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     low = _table()[np.minimum(cp, FOLDED - 1)]
     return np.where(cp >= FOLDED, cp, low).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -91,10 +99,9 @@ class Lexicon:
     slope: float = 2.0
 
     def automaton(self):
-        found = ahocorasick.Automaton()
-        for entry in {*self.words, *self.stems, *map(fold, self.exceptions)}:
-            excuse = entry in set(map(fold, self.exceptions))
-            found.add_word(entry, (len(entry), self.words.get(entry, 0.0), self.stems.get(entry, 0.0), excuse))
+        found, excuses = ahocorasick.Automaton(), {*map(fold, self.exceptions)}
+        for entry in {*self.words, *self.stems, *excuses}:
+            found.add_word(entry, (len(entry), self.words.get(entry, 0.0), self.stems.get(entry, 0.0), entry in excuses))
         found.make_automaton()
         return found
 
@@ -118,9 +125,12 @@ def matches(text: str, automaton) -> list[tuple[int, int, float]]:
         weight = max(word if closed else 0.0, stem)
         if weight > 0:
             found.append((start, end, weight))
+    excused.sort()
+    froms, upto = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
     kept, reach = [], 0
     for start, end, weight in sorted(found, key=lambda m: (m[0], -m[1])):
-        if start >= reach and not any(a <= start and end <= b for a, b in excused):
+        before = bisect_right(froms, start)  # a phrase that begins by `start` and ends at `end` or later excuses the match
+        if start >= reach and not (before and upto[before - 1] >= end):
             kept.append((start, end, weight))
             reach = end
     return kept
@@ -153,20 +163,20 @@ def _signature(text: str) -> int:
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Learn entries and the curve from the rows of `labels` (id, 0 or 1) that `docs` has.
+    """Learn entries and the curve from the rows of `labels` (id, 0 or 1) that `docs` has, one row per id.
 
-    Copies of a document count once, or the rare words of one toxic text with many copies would look toxic. Null ids
+    The evidence that an entry needs and the bounded sample bound what is collected. Copies of a document count once, or the rare words of one toxic text with many copies would look toxic. Null ids
     and labels are left out; of repeated ids one label counts, the largest. With no toxic or no clean document the seed
     lexicon comes back as it is."""
     seed = seed or seed_lexicon()
     named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic")).where("__id is not null and toxic is not null")
     named = sample_by_hash(named.groupBy("__id").agg(F.max("toxic").alias("toxic")), "__id", TRAIN_DOCS)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(named), "__id")
+    rows = one_text_per_id(docs, named, "toxic", id_col, text_col)
 
     def sign(batches):
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["__id"], batch["toxic"], pa.array(texts), pa.array([_signature(t) for t in texts], pa.int64())], names=["id", "toxic", "text", "sig"])
+            signs = [_signature(t) for _, texts in text_slices(batch["text"], BLOCK) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch["__id"], batch["toxic"], batch["text"], pa.array(signs, pa.int64())], names=["id", "toxic", "text", "sig"])
 
     id_type = rows.schema["__id"].dataType.simpleString()
     signed = cut(rows.select("__id", "toxic", "text").mapInArrow(sign, f"id {id_type}, toxic int, text string, sig long"), "labelled")
@@ -179,11 +189,13 @@ def fit(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, label_c
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                seen.update((e, toxic) for e in _entries(text))
-            if len(seen) > 500_000:
-                yield _counted(seen)
-                seen = Counter()
+            toxic = batch["toxic"].to_pylist()
+            for at, texts in text_slices(batch["text"], BLOCK):
+                for text, y in zip(texts, toxic[at:], strict=False):
+                    seen.update((e, y) for e in _entries(text))
+                if len(seen) > 100_000:
+                    yield _counted(seen)
+                    seen = Counter()
         yield _counted(seen)
 
     base = size[1] / (size[0] + size[1])
@@ -194,8 +206,6 @@ def fit(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, label_c
         .groupBy("entry")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
         .where((F.col("t") > 0) & (share >= MIN_SHARE) & (evidence >= MIN_EVIDENCE))
-        .orderBy(evidence.desc(), "entry")
-        .limit(MAX_LEARNED)
         .collect()
     )
     words, stems = dict(seed.words), {}

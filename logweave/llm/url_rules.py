@@ -1,8 +1,8 @@
 """URL filters by hash-prefix lookup, with DataFrame functions only.
 
 A rule is an expression host + path: it fits a URL whose host is the rule's host or a subdomain of it and whose path
-starts with the rule's path. Every URL is expanded into all its host suffixes combined with the prefixes of its path at the
-lengths that rules have. Expressions meet the rules by an equi-join on the first four bytes of their SHA-256 digest, a key of
+starts with the rule's path. Every URL is expanded into its host suffixes combined with the prefixes of its path, at the
+numbers of labels and the path lengths that rules have. Expressions meet the rules by an equi-join on the first four bytes of their SHA-256 digest, a key of
 fixed size however long the expressions are; the full digest then confirms. Of the rules that fit, the longest expression
 wins, and of equal expressions a block.
 
@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 100_000
-#: Lengths of rule paths are part of the plan; a list with more of them than this is refused.
-MAX_LENGTHS = 4096
 DEFAULT_VERDICT = "allow"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """Rules (host, path, verdict) as a table of constants."""
+    rows = [F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip(("host", "path", "verdict"), rule, strict=True)]) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.range(0).selectExpr("'' host", "'' path", "'' verdict")
 
 
 def host_of(url: Column) -> Column:
@@ -39,14 +39,21 @@ def _digest(expression: Column) -> Column:
     return F.sha2(expression.cast("binary"), 256)
 
 
-def expansions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes at label borders, each with the prefixes of the path that have one of the lengths."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    sizes = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k <= F.length(path))
-    prefixes = F.transform(sizes, lambda k: F.substring(path, F.lit(1), k))
-    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
+def labels_of(host: Column) -> Column:
+    """Number of labels, one more than dots."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def expansions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """For the shapes (labels, path length) that a URL is large enough for: its last labels with its path's first characters."""
+    known = F.split(F.lit(",".join(f"{k}:{n}" for k, n in shapes)), ",")
+    pairs = F.transform(known, lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("k"), F.substring_index(x, ":", -1).cast("int").alias("n")))
+
+    def fitting(labels: Column, size: Column) -> Column:
+        return F.filter(pairs, lambda x: (x["k"] <= labels) & (x["n"] <= size))
+
+    suffix = lambda k: F.call_function("substring_index", host, F.lit("."), -k)
+    return F.transform(fitting(labels_of(host), F.length(path)), lambda x: F.concat(suffix(x["k"]), F.substring(path, F.lit(1), x["n"])))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -55,16 +62,14 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     `rules` has host, path and verdict (block or allow); null hosts, paths or verdicts are no rules, hosts are compared in
     lower case, and a rule that is given twice with both verdicts blocks."""
     known = rules.where("host is not null and path is not null and verdict is not null")
-    known = known.select(F.concat(F.translate("host", CAPITALS, SMALL), "path").alias("rule"), F.length("path").alias("n"), "verdict")
-    lengths = [r.n for r in known.select("n").distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_LENGTHS} lengths")
+    known = known.select(F.concat(F.translate("host", CAPITALS, SMALL), "path").alias("rule"), labels_of(F.col("host")).alias("k"), F.length("path").alias("n"), "verdict")
+    shapes = sorted((r.k, r.n) for r in known.select("k", "n").distinct().collect())
     known = known.groupBy("rule").agg(F.max("verdict").alias("verdict"))  # block follows allow
     known = known.select("rule", "verdict", _digest(F.col("rule")).alias("full"), F.substring(_digest(F.col("rule")), 1, 8).alias("short"))
     if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         known = F.broadcast(known)
     urls = pages.select(F.coalesce(F.col(url_col), F.lit("")).alias("url")).distinct()
-    found = urls.withColumn("expression", F.explode(expansions(host_of(F.col("url")), path_of(F.col("url")), sorted(lengths) or [0])))
+    found = urls.withColumn("expression", F.explode(expansions(host_of(F.col("url")), path_of(F.col("url")), shapes or [(1, 0)])))
     found = found.select("url", _digest(F.col("expression")).alias("own")).withColumn("short", F.substring("own", 1, 8))
     fits = found.join(known, "short").where(F.col("own") == F.col("full"))
     best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))

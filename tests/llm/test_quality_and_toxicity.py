@@ -159,7 +159,7 @@ def test_a_chain_of_lines_lends_its_neighbours_weight():
     good, bad = "The river ran under the old stone bridge.", "BUY!! NOW!! BUY!! NOW!!"
     texts = [*["\n".join([good] * 6)] * 20, *["\n".join([bad] * 6)] * 20]
     own, _, counts = crf.line_features(texts)
-    field = crf.train(own, counts, np.array([1] * 20 + [0] * 20))
+    field = crf.train(crf.with_neighbours(own, counts), counts, np.array([1] * 20 + [0] * 20))
     s = crf.score_texts(["\n".join([good] * 5), "\n".join([bad] * 5), "\n".join([good, bad] * 3)], field)
     assert s[0] > 0.8 and s[1] < 0.2 and s[1] < s[2] < s[0]
 
