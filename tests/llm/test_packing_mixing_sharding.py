@@ -137,9 +137,24 @@ def test_mix_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_newton_reaches_the_targets(spark):
-    rows = [(s, t * s) for s in (1.0, 1e9) for t in (1e-9, 0.01, 0.5, 1.0, 2.0, 2.999, 3.0)]
-    df = spark.createDataFrame(rows, "s double, t double").withColumn("r", F.exp(mixing.tilt(F.col("s"), F.col("t"))))
-    assert all(abs(r.r * r.s - r.t) <= 1e-9 * r.t for r in df.collect())
+    """Rates are exponential in the size, capped, and make each target; few steps suffice."""
+    shapes = {"even": [7] * 50, "wide": [1, 1, 3, 10, 40, 200, 200, 5000], "long": [120] * 200 + [60_000], "one": [31]}
+    sizes = [(f"{name} {share}", n) for name, own in shapes.items() for share in (0.001, 0.3, 1.0, 1.7, 2.9, 3.0) for n in own]
+    df = spark.createDataFrame(sizes, "key string, size long")
+    goals = df.groupBy("key").agg(F.sum("size").alias("source_size")).withColumn("target", F.col("source_size") * F.split("key", " ")[1].cast("double"))
+    got, steps = mixing.tilts(df, goals)
+    tilt, words = {r.key: r.tilt for r in got.collect()}, {}
+    for key, n in sizes:
+        words[key] = words.get(key, 0) + n * min(np.exp(tilt[key] * n), 3)
+    assert all(abs(words[r.key] - r.target) <= 1e-8 * r.target for r in goals.collect()) and steps <= 40
+    assert tilt["wide 1.0"] == 0 and tilt["wide 0.3"] < 0 < tilt["wide 1.7"]
+
+
+def test_mix_tells_rows_without_an_id_apart(spark):
+    rows = [(None, "ab"[i % 2], f"{i} " + "w " * (99 + i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    by = mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("n"), F.max("size").alias("most")).collect()
+    assert all(abs(r.n - r.target) <= r.most for r in by)
 
 
 # Sharding
