@@ -33,13 +33,13 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest id, of repeated ids one row; null ids come last.
 
-    Rows are named by their place in the table, which is the same in every scan of it."""
-    row = F.monotonically_increasing_id()
-    key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), row.alias("row"))
-    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    Rows are numbered once and written with their numbers, as a second scan may be split otherwise."""
     name = unused("__row", docs.columns)
+    numbered = cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col(name).alias("row"))
+    found = simhash.near_duplicates(numbered.select(key.alias("key"), "text"), id_col="key")
     kept = found.where("kept").select(F.col("doc_id.row").alias(name))
-    return docs.withColumn(name, row).join(kept, name, "left_semi").drop(name)
+    return numbered.join(kept, name, "left_semi").drop(name)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
