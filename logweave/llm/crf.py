@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one_text_per_id, sample_by_hash, text_chunks, text_slices
+from .common import arrow_map, one_text_per_id, sample_by_hash, text_chunks, text_slices
 
 #: The sample that the field is fitted on: so many labelled documents at most, so many lines in a row of each.
 TRAIN_DOCS, TRAIN_LINES = 4000, 64
@@ -342,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 arrays += [pa.array([int(before) for _, before, _ in found], pa.int32()), pa.array([n for _, _, n in found], pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["y", "f", "before", "n"])
 
-    got = rows.mapInArrow(run, "y int, f binary, before int, n int").collect()
+    got = arrow_map(rows, run, "y int, f binary, before int, n int").collect()
     y = np.array([r.y for r in got])
     if not len(y) or y.min() == y.max():
         logging.getLogger(__name__).warning("%d labelled documents, of labels %s: the field is neutral and rejects nothing", len(y), sorted({*y.tolist()}))
@@ -378,7 +378,7 @@ def classify(
             yield out if keep_from is None else out.filter(pa.array(scores >= keep_from))
 
     fields = [docs.schema[c] for c in held]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def label_lines(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", good_from: float = 0.5) -> DataFrame:
@@ -402,7 +402,7 @@ def label_lines(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "line", "start", "end", "p_good", "good"])
 
     fields = [T.StructField(c, T.IntegerType()) for c in ("line", "start", "end")]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("p_good", T.DoubleType()), T.StructField("good", T.BooleanType())]))
+    return arrow_map(rows, run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("p_good", T.DoubleType()), T.StructField("good", T.BooleanType())]))
 
 
 def fold_of(id_col: str, folds: int):

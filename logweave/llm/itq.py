@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sample_by_hash
+from .common import arrow_map, cut, sample_by_hash
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -187,7 +187,7 @@ def codes(classes: DataFrame, models: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(d.astype(np.int32)), *words, vectors], names=["node", "d", *names, "embedding"])
 
     element = classes.schema["embedding"].dataType.simpleString()
-    return classes.select("node", "embedding").mapInArrow(run, f"node long, d int, {', '.join(f'{c} long' for c in names)}, embedding {element}")
+    return arrow_map(classes.select("node", "embedding"), run, f"node long, d int, {', '.join(f'{c} long' for c in names)}, embedding {element}")
 
 
 def _substring(code: str, t: str) -> str:
@@ -210,7 +210,7 @@ def _close(pairs: DataFrame, least: float, held: list[str]) -> DataFrame:
                 keep[at] = (a * b).sum(axis=1) >= least
             yield batch.select(held).filter(pa.array(keep))
 
-    return pairs.select(*held, "a", "b").mapInArrow(run, ", ".join(f"{c} long" for c in held))
+    return arrow_map(pairs.select(*held, "a", "b"), run, ", ".join(f"{c} long" for c in held))
 
 
 def pivots(coded: DataFrame, threshold: float) -> DataFrame:

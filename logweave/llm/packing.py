@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow_map
+
 MAX_TOKENS = 2048
 END_OF_DOCUMENT = 1
 #: Runs of the characters with the property White_Space.
@@ -113,7 +115,7 @@ def pack(
     schema = [rows.schema["doc_id"]]
     schema += [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")] + [T.StructField("bucket", T.IntegerType())]
     schema += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * emit_ids
-    out = rows.mapInArrow(run, T.StructType(schema))
+    out = arrow_map(rows, run, T.StructType(schema))
     sequence = F.monotonically_increasing_id() * 64 + F.col("bucket")
     return out.withColumn("sequence_id", sequence).withColumn("offset", F.lit(0).cast("long"))
 

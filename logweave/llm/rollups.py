@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, scratch_dir
+from .common import arrow_map, cut, scratch_dir
 from .packing import ADDED_TOKENS, encoder, token_ids, tokenizer_files
 
 KEYS = ("source", "lang", "tokenizer")
@@ -145,7 +145,7 @@ def count_tokens(docs: DataFrame, files: tuple[str, str] | None = None, id_col:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in held), *numbers], names=[*held, "words", "tokens"])
 
     schema = T.StructType([*(rows.schema[c] for c in held), T.StructField("words", T.LongType()), T.StructField("tokens", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def later_copies(counted: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import arrow_map, cut
 from .components import connected_components
 
 THRESHOLD = 2
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:

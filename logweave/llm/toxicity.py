@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, one_text_per_id, sample_by_hash, text_slices
+from .common import arrow_map, cut, one_text_per_id, sample_by_hash, text_slices
 from .crf import fold_of
 
 #: Fit on so many labelled documents at most.
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, label_c
             yield pa.RecordBatch.from_arrays([batch["__id"], batch["toxic"], batch["text"], pa.array(signs, pa.int64())], names=["id", "toxic", "text", "sig"])
 
     id_type = rows.schema["__id"].dataType.simpleString()
-    signed = cut(rows.select("__id", "toxic", "text").mapInArrow(sign, f"id {id_type}, toxic int, text string, sig long"), "labelled")
+    signed = cut(arrow_map(rows.select("__id", "toxic", "text"), sign, f"id {id_type}, toxic int, text string, sig long"), "labelled")
     first = signed.groupBy("toxic", "sig").agg(F.min("id").alias("id")).drop("sig")
     sample = cut(signed.join(F.broadcast(first), ["id", "toxic"], "left_semi").select("toxic", "text"), "sample")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, label_c
     share = F.col("t") / (F.col("t") + F.col("c"))
     evidence = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     learned = (
-        sample.mapInArrow(count, "entry string, toxic int, n long")
+        arrow_map(sample, count, "entry string, toxic int, n long")
         .groupBy("entry")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
         .where((F.col("t") > 0) & (share >= MIN_SHARE) & (evidence >= MIN_EVIDENCE))
@@ -253,7 +253,7 @@ def _burdens(docs: DataFrame, text_col: str, lexicon: Lexicon, held: list[str])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in held), pa.array(x)], names=[*held, "burden"])
 
     fields = [docs.schema[c] for c in held]
-    return docs.select(*{*held, text_col}).mapInArrow(run, T.StructType([*fields, T.StructField("burden", T.DoubleType())]))
+    return arrow_map(docs.select(*{*held, text_col}), run, T.StructType([*fields, T.StructField("burden", T.DoubleType())]))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +284,7 @@ def spans(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *arrays], names=["doc_id", "start", "end", "matched", "weight"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, start int, end int, matched string, weight double")
+    return arrow_map(rows, run, f"doc_id {id_type}, start int, end int, matched string, weight double")
 
 
 def op7_lexicon_toxicity(spark, sf_dir: str) -> DataFrame:
