@@ -75,7 +75,8 @@ class Rollup:
         """source, lang, tokenizer, docs, tokens of all committed batches; keys whose numbers are both back at zero have no row."""
         old, included = self._snapshot()
         new = [f"{self.root}/batches/{b}" for b in self.batches() if b not in included]
-        parts = self.spark.createDataFrame([], SCHEMA) if old is None else old
+        empty = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(SCHEMA)])
+        parts = empty if old is None else old
         if new:
             parts = parts.unionByName(self.spark.read.schema(SCHEMA).parquet(*new))
         return parts.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
@@ -95,7 +96,8 @@ class Rollup:
 
         def write(path: str) -> None:
             totals.coalesce(1).write.parquet(f"{path}/totals")
-            self.spark.createDataFrame([(b,) for b in held], "batch string").coalesce(1).write.parquet(f"{path}/batches")
+            names = F.array(*map(F.lit, held)).cast("array<string>")  # a plan without a Python worker, unlike createDataFrame
+            self.spark.range(1).select(F.explode(names).alias("batch")).coalesce(1).write.parquet(f"{path}/batches")
 
         return self._publish(write, f"{self.root}/snapshots/{number:012d}")
 
