@@ -72,7 +72,8 @@ def tilts(sizes: DataFrame, goals: DataFrame, cap: int = CAP) -> tuple[DataFrame
     target. Where there is nothing to take the tilt is null.
 
     The root lies between 0, where every rate is 1, and the tilt that gives the smallest document the rate target / source_size.
-    A step goes by the logarithm of the words, and to the middle of the bracket where it would leave it."""
+    A step goes by the logarithm of the words, and to the middle of the bracket where it would leave it or where the step before
+    didn't halve the miss, so each step halves the one or the other."""
     counted = cut(sizes.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), "counted")
     least = counted.groupBy("key").agg(F.min("size").alias("least"))
     end = F.log(F.col("target") / F.col("source_size")) / F.col("least")
@@ -80,7 +81,7 @@ def tilts(sizes: DataFrame, goals: DataFrame, cap: int = CAP) -> tuple[DataFrame
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
     state = cut(state.select(
         "key", "target", F.least("end", F.lit(0.0)).alias("low"), F.greatest("end", F.lit(0.0)).alias("high"),
-        F.when(full, F.col("end")).otherwise(F.lit(0.0)).alias("tilt"), full.alias("done"),
+        F.when(full, F.col("end")).otherwise(F.lit(0.0)).alias("tilt"), F.lit(float("inf")).alias("miss"), full.alias("done"),
     ), "tilts")
     grown = F.exp(F.col("tilt") * F.col("size"))
     mass = F.col("n") * F.col("size") * F.least(grown, F.lit(float(cap)))
@@ -97,12 +98,14 @@ def tilts(sizes: DataFrame, goals: DataFrame, cap: int = CAP) -> tuple[DataFrame
         now = now.withColumns({"low": low, "high": high})
         step = F.col("tilt") - F.log(F.col("words") / F.col("target")) * F.try_divide(F.col("words"), F.col("slope"))
         middle = (F.col("low") + F.col("high")) / 2
-        inside = (step > F.col("low")) & (step < F.col("high")) & F.lit(steps % 8 < 7)
+        miss = F.abs(F.log(F.col("words") / F.col("target")))
+        inside = (step > F.col("low")) & (step < F.col("high")) & (miss <= F.col("miss") / 2)
         near = F.abs(F.col("words") - F.col("target")) <= RESIDUAL * F.col("target")
         near = near | (F.col("high") - F.col("low") <= 1e-15 * F.greatest(F.abs("low"), F.abs("high")))
         done = F.col("done") | F.coalesce(near, F.lit(True))
         state = cut(now.select(
-            "key", "target", "low", "high", F.when(done, F.col("tilt")).when(inside, step).otherwise(middle).alias("tilt"), done.alias("done"),
+            "key", "target", "low", "high", F.when(done, F.col("tilt")).when(inside, step).otherwise(middle).alias("tilt"),
+            miss.alias("miss"), done.alias("done"),
         ), "tilts")
         steps += 1
     return goals.select("key").join(state.select("key", "tilt"), "key", "left"), steps
