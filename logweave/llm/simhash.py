@@ -140,8 +140,11 @@ def fingerprint_links(distinct_fps: DataFrame) -> DataFrame:
     """(u long, v long): all pairs of different fingerprints with at most THRESHOLD differing bits, each from both sides.
 
     An equi-join per anchor whose comparison is part of the join condition: what does not link is never emitted, and
-    adaptive execution can split an anchor that many fingerprints share."""
-    home = anchor_rows(distinct_fps, True).withColumnRenamed("fp", "u")
+    adaptive execution can split an anchor that many fingerprints share.
+
+    The join is hinted, as Spark takes the copies to be as large as the fingerprints that they are made from, a 61st of their
+    size, and would collect them on the driver for a broadcast."""
+    home = anchor_rows(distinct_fps, True).withColumnRenamed("fp", "u").hint("merge")
     away = anchor_rows(distinct_fps, False).withColumnRenamed("fp", "v")
     differ = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     return home.join(away, (home.anchor == away.anchor) & differ.between(1, THRESHOLD)).select("u", "v")

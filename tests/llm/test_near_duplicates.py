@@ -111,6 +111,18 @@ def test_dense_groups_link_completely(spark):
     assert links == want
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    """However small the table that they are made from: there are 61 of each."""
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = final_plan(simhash.fingerprint_links(spark.read.parquet(str(tmp_path / "fps"))))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def vectors(n=600, d=64, seed=4):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, d))
