@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = linked.join(smallest, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select(
+    # every fingerprint has its row in ids; a left join, as of an inner one Spark may broadcast the documents
+    return fps.join(ids, "fp", "left").select(
         "doc_id",
         hex_of(F.col("fp")).alias("fingerprint"),
         "component_id",

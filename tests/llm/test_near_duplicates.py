@@ -123,6 +123,16 @@ def test_copies_of_fingerprints_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_documents_are_not_broadcast(spark):
+    """A row per document would go to the driver, and where there are few fingerprints one task would write all rows."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("the same %d words", F.col("id") % 7).alias("text"))
+    found = simhash.near_duplicates(docs)
+    top = next(line for line in final_plan(found).splitlines() if "Join" in line)
+    assert "BuildLeft" not in top, top
+    got = found.collect()
+    assert len(got) == 3000 and [r.component_id for r in got] == brute([(r.doc_id, int(r.fingerprint, 16)) for r in got])
+
+
 def vectors(n=600, d=64, seed=4):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, d))
