@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweave.operators import sequence as S
 from logweave.operators.processing import LIFECYCLE
+from logweave.sources.scratch import scratch_path
 
 GAP_OUT = "partition int, publisher_id string, seq long, event_no long, copy int, outcome string, missed_start long, missed_end long"
 
@@ -159,10 +160,17 @@ def live(spark, schema: T.StructType, path: str, max_files: int | None = None) -
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is and return its output as a table in memory (tests, inspection)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
+    """Run a stream over what there is and return its output, also as the temporary view `name` (tests, inspection).
+
+    Tasks write the rows as files in the shared folder, or below `checkpoint` where one is given, so that a run that goes on from
+    it adds to what is there; the driver holds none of them."""
+    spark = stream.sparkSession
+    path = f"{checkpoint}/output" if checkpoint else scratch_path(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)  # a stream without files runs no batch
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint"))
+    q = writer.trigger(availableNow=True).start(path)
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.schema).parquet(path)
+    rows.createOrReplaceTempView(name)
+    return rows

@@ -222,3 +222,9 @@ def test_a_long_chain_of_topics_has_no_cycle(spark):
     for rows, want in ((chain, []), (chain + loops, ["m", "x", "y", "z"])):
         got = topology.cyclic_topics(spark.createDataFrame(rows, "input_topic string, output_topic string"))
         assert [r.topic for r in got.collect()] == want
+
+
+@pytest.mark.parametrize("name", ["stream_bounded_dedup"])
+def test_streams_leave_their_output_in_files(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir)
+    assert rows.inputFiles() and rows.count() > 0
