@@ -224,7 +224,19 @@ def test_a_long_chain_of_topics_has_no_cycle(spark):
         assert [r.topic for r in got.collect()] == want
 
 
-@pytest.mark.parametrize("name", ["stream_bounded_dedup"])
+@pytest.mark.parametrize("name", ["stream_bounded_dedup", "stream_gap_detector"])
 def test_streams_leave_their_output_in_files(spark, sf_dir, name):
     rows = QUERIES[name](spark, sf_dir)
     assert rows.inputFiles() and rows.count() > 0
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    arrived = "partition int, publisher_id string, seq long, event_no long, copy int, arrival_ts timestamp_ntz"
+    rows = spark.createDataFrame([(0, "p", s) for s in (0, 1, 4)], STREAM)
+    rows = rows.select("*", F.col("seq").alias("event_no"), F.lit(0).alias("copy"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0,0,0,seq)").alias("arrival_ts"))
+    got = []
+    for part in ("seq < 2", "seq > 2"):
+        rows.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        out = twins.run_to_table(twins.gap_detector(twins.live(spark, spark.createDataFrame([], arrived).schema, str(tmp_path / "in"))), "going_on", str(tmp_path / "c"))
+        got.append(sorted((r.seq, r.outcome, r.missed_start) for r in out.collect()))
+    assert got == [[(0, "deliver", None), (1, "deliver", None)], [(0, "deliver", None), (1, "deliver", None), (4, "gap", 2)]]
