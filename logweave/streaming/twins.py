@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,22 +85,31 @@ def dedup_within(stream: DataFrame, ts: str = "ts", delay: str = "1 hour") -> Da
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def retry_outcomes(stream: DataFrame, max_attempts: int) -> DataFrame:
-    """event_id, attempt_no, failures, outcome (ack, retry, dlq); state: failures since the last success."""
+def retry_outcomes(stream: DataFrame, max_attempts: int, shards: int = 1024) -> DataFrame:
+    """event_id, attempt_no, failures, outcome (ack, retry, dlq); state: failures since the last success.
+
+    Ids are dealt to `shards` groups by hash, so that one call of Python serves many of them: most ids have few attempts. The
+    state of a group holds the ids whose last attempt failed. A stream keeps its number of shards for life."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _together(parts, ["attempt_no"])
-        failures, counts = state.get[0] if state.exists else 0, []
-        for ok in rows["ok"]:
-            counts.append(0 if ok else failures + 1)
-            failures = counts[-1]
-        state.update((int(failures),))
-        n = pd.Series(counts, index=rows.index, dtype="int64")
-        outcome = pd.Series("retry", index=rows.index).mask(n >= max_attempts, "dlq").mask(rows["ok"], "ack")
+        rows = _together(parts, ["event_id", "attempt_no"])
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        codes, ids = pd.factorize(rows["event_id"], use_na_sentinel=False)
+        ids = [i if isinstance(i, str) else None for i in ids]
+        before = np.array([held.get(i, 0) for i in ids], dtype=np.int64)
+        at, ok = np.arange(len(rows)), rows["ok"].eq(True).to_numpy(bool)
+        first = np.searchsorted(codes, np.arange(len(ids)))  # ids lie together, in the order of their codes
+        success = np.maximum.accumulate(np.where(ok, at, -1))
+        n = np.where(success >= first[codes], at - success, at - first[codes] + 1 + before[codes])
+        held |= zip(ids, n[np.append(first[1:], len(rows)) - 1].tolist(), strict=True)
+        held = {i: k for i, k in held.items() if k}
+        state.update((list(held), list(held.values())))
+        outcome = np.where(ok, "ack", np.where(n >= max_attempts, "dlq", "retry"))
         yield rows[["event_id", "attempt_no"]].assign(failures=n, outcome=outcome)
 
-    rows = stream.select("event_id", "attempt_no", "ok")
-    return rows.groupBy("event_id").applyInPandasWithState(step, "event_id string, attempt_no long, failures long, outcome string", "failures long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("event_id", "attempt_no", "ok", F.pmod(F.xxhash64("event_id"), F.lit(shards)).alias("shard"))
+    out = "event_id string, attempt_no long, failures long, outcome string"
+    return rows.groupBy("shard").applyInPandasWithState(step, out, "ids array<string>, failures array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def lifecycle(stream: DataFrame, inactive_us: int = 300_000_000, grace_us: int = 120_000_000) -> DataFrame:

@@ -240,3 +240,16 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         out = twins.run_to_table(twins.gap_detector(twins.live(spark, spark.createDataFrame([], arrived).schema, str(tmp_path / "in"))), "going_on", str(tmp_path / "c"))
         got.append(sorted((r.seq, r.outcome, r.missed_start) for r in out.collect()))
     assert got == [[(0, "deliver", None), (1, "deliver", None)], [(0, "deliver", None), (1, "deliver", None), (4, "gap", 2)]]
+
+
+def test_streamed_retries_of_many_ids_share_a_call(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "c", None]), n, rng.choice([True, False, False])) for n in range(60)]
+    df = spark.createDataFrame(rows, "event_id string, attempt_no long, ok boolean")
+    want = sorted((str(r.event_id), r.attempt_no, r.failures, r.outcome) for r in R.retry_outcomes(df, 3, 100, 1000).collect())
+    for shards in (1, 2, 64):
+        path, check = str(tmp_path / f"in{shards}"), str(tmp_path / f"c{shards}")
+        for part in ("attempt_no < 25", "attempt_no between 25 and 40", "attempt_no > 40"):
+            df.where(part).write.mode("append").parquet(path)
+            got = twins.run_to_table(twins.retry_outcomes(twins.live(spark, df.schema, path), 3, shards=shards), f"retries_{shards}", check)
+        assert sorted((str(r.event_id), r.attempt_no, r.failures, r.outcome) for r in got.collect()) == want
