@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from logweave.functions.exprs import QueryFilters, ReplayFilters, is_internal, path_pattern
 
+from .tasks import spread
+
 PRIMARY_ORDER = ("publisher_id", "seq")
 REPLAY_ORDER = ("hlc_physical_ns", "hlc_logical", "publisher_id", "seq")
 
@@ -166,7 +168,7 @@ def upsert(log: DataFrame, batch: DataFrame, arrival: str) -> DataFrame:
 
 def last_arrival(rows: DataFrame, arrival: str) -> DataFrame:
     w = Window.partitionBy("partition", "publisher_id", "seq").orderBy(F.col(arrival).desc())
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return spread(rows, "partition", "publisher_id", "seq").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
 def publisher_cache(log: DataFrame, size: int = 256, after_seq: int | None = None, before_seq: int | None = None) -> DataFrame:

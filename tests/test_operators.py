@@ -253,3 +253,13 @@ def test_streamed_retries_of_many_ids_share_a_call(spark, tmp_path):
             df.where(part).write.mode("append").parquet(path)
             got = twins.run_to_table(twins.retry_outcomes(twins.live(spark, df.schema, path), 3, shards=shards), f"retries_{shards}", check)
         assert sorted((str(r.event_id), r.attempt_no, r.failures, r.outcome) for r in got.collect()) == want
+
+
+def test_last_arrival_deals_large_logs_to_a_number_of_tasks(spark, monkeypatch):
+    from logweave.operators import tasks
+
+    rows = spark.createDataFrame([(0, "p", i % 5, i) for i in range(20)], STREAM + ", arrived int")
+    monkeypatch.setattr(tasks, "SHARE", 1)
+    got = L.last_arrival(rows, "arrived")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.arrived for r in got.collect()) == list(range(15, 20))
