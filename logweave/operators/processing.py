@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from logweave.functions.exprs import backoff_ms, map_processor
 
+from .tasks import spread
+
 
 def process(rows: DataFrame, mode: str, payload_col: str = "payload", drop_share: float = 0.0, delay_ms: int = 0, id_col: str = "event_id") -> DataFrame:
     """passthrough, delay (ts moves), filter (drops a share, chosen by a hash of the id so that reruns agree) or map."""
@@ -28,9 +30,9 @@ def process(rows: DataFrame, mode: str, payload_col: str = "payload", drop_share
 def retry_outcomes(attempts: DataFrame, max_attempts: int, base_ms: int, max_ms: int) -> DataFrame:
     """attempts (event_id, attempt_no, ok) with failure count since the last success, outcome (ack, retry, dlq) and delay."""
     w = Window.partitionBy("event_id").orderBy("attempt_no")
-    rows = attempts.withColumn("__run", F.coalesce(F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    by = Window.partitionBy("event_id", "__run").orderBy("attempt_no")
-    rows = rows.withColumn("failures", F.when(~F.col("ok"), F.row_number().over(by)).otherwise(0)).drop("__run")
+    rows = spread(attempts, "event_id").withColumn("__n", F.row_number().over(w))
+    success = F.max(F.when(F.col("ok"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("failures", F.when(~F.col("ok"), F.col("__n") - F.coalesce(success, F.lit(0))).otherwise(0)).drop("__n")
     outcome = F.when(F.col("ok"), "ack").when(F.col("failures") >= max_attempts, "dlq").otherwise("retry")
     rows = rows.withColumn("outcome", outcome)
     return rows.withColumn("delay_ms", F.when(F.col("outcome") == "retry", backoff_ms(F.col("failures") - 1, base_ms, max_ms)))

@@ -263,3 +263,14 @@ def test_last_arrival_deals_large_logs_to_a_number_of_tasks(spark, monkeypatch):
     got = L.last_arrival(rows, "arrived")
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.arrived for r in got.collect()) == list(range(15, 20))
+
+
+def test_retry_outcomes_sort_once_over_a_number_of_tasks(spark, monkeypatch):
+    from logweave.operators import tasks
+
+    rows = spark.createDataFrame([("a", n, n in (3, 4)) for n in range(1, 9)], "event_id string, attempt_no long, ok boolean")
+    monkeypatch.setattr(tasks, "SHARE", 1)
+    got = R.retry_outcomes(rows, 3, 100, 1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Sort [") == 1
+    assert [r.failures for r in got.orderBy("attempt_no").collect()] == [1, 2, 0, 0, 1, 2, 3, 4]
