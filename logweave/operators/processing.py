@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions.exprs import backoff_ms, map_processor
+from logweave.sources.scratch import stored
 
 from .tasks import spread
 
@@ -109,10 +113,38 @@ def lifecycle(activity: DataFrame, until_us: int, inactive_us: int = 300_000_000
     return ends.select("publisher_id", "at_us", "following").groupBy("publisher_id").applyInPandas(fold, LIFECYCLE)
 
 
-def latency_summary(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """Exact percentiles, mean and standard deviation."""
-    p = [F.percentile(value, F.lit(x / 100)).alias(f"p{x}") for x in (25, 50, 75, 95, 99)]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *p, F.avg(value).alias("mean"), F.stddev(value).alias("stddev"))
+def latency_summary(rows: DataFrame, value: Column, by: list[str], part: int = 250_000) -> DataFrame:
+    """Exact percentiles, mean and standard deviation.
+
+    Equal values are counted, the counts are put in order over all tasks, `part` of them to each, and written. Only parts that hold
+    a wanted rank are looked into, so no group has to fit one task. Percentiles between two ranks are interpolated as Spark does."""
+    shares = {f"p{x}": x / 100 for x in (25, 50, 75, 95, 99)}
+    rows = rows.select(*by, value.cast("double").alias("__v"))
+    summary = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.stddev("__v").alias("stddev"))
+    counts = stored(rows.where("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__c")), "value-counts")
+    order = counts.repartitionByRange(max(1, -(-counts.count() // part)), *by, "__v").withColumn("__part", F.spark_partition_id())
+    order = stored(order, "values-in-order")
+    of, at = Window.partitionBy(*by), {c: F.lit(q) * (F.col("__all") - 1).cast("double") for c, q in shares.items()}
+    parts = order.groupBy(*by, "__part").agg(F.sum("__c").alias("__m")).withColumn("__all", F.sum("__m").over(of))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__m").over(of.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    holds = lambda low, n: reduce(or_, ((F.floor(p) < low + n) & (F.ceil(p) >= low) for p in at.values()))
+    near = _join(order, parts.where(holds(F.col("__before"), F.col("__m"))), [*by, "__part"], "inner")
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("__low", F.col("__before") + upto - F.col("__c"))
+    value_at = lambda rank: F.max(F.when((F.col("__low") <= rank) & (rank < F.col("__low") + F.col("__c")), F.col("__v")))
+    ranks = [(f"__{c}_{end}", rank(p)) for c, p in at.items() for end, rank in (("low", F.floor), ("high", F.ceil))]
+    found = near.groupBy(*by, "__all").agg(*[value_at(rank).alias(name) for name, rank in ranks])
+    for c, p in at.items():
+        low, high = F.col(f"__{c}_low"), F.col(f"__{c}_high")
+        found = found.withColumn(c, F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high))
+    return _join(summary, found.select(*by, *shares), by, "left").select(*by, "n", *shares, "mean", "stddev")
+
+
+def _join(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on columns that may be null; null meets null."""
+    b = b.withColumnsRenamed({c: f"__{i}_on" for i, c in enumerate(on)})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{i}_on")) for i, c in enumerate(on)), F.lit(True))
+    return a.join(b, same, how).drop(*[f"__{i}_on" for i in range(len(on))])
 
 
 def interval_rates(ticks: DataFrame) -> DataFrame:

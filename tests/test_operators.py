@@ -274,3 +274,17 @@ def test_retry_outcomes_sort_once_over_a_number_of_tasks(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Sort [") == 1
     assert [r.failures for r in got.orderBy("attempt_no").collect()] == [1, 2, 0, 0, 1, 2, 3, 4]
+
+
+def test_percentiles_come_from_ranks_over_all_tasks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([float(rng.randint(0, 9)), rng.random(), None])) for _ in range(400)] + [("one", 2.5), ("none", None), ("nan", float("nan")), ("nan", 1.0)]
+    df = spark.createDataFrame(rows, "mode string, v double")
+    names = {f"p{x}": x / 100 for x in (25, 50, 75, 95, 99)}
+    want = {r["mode"]: r for r in df.groupBy("mode").agg(F.count("*").alias("n"), *[F.percentile("v", F.lit(q)).alias(c) for c, q in names.items()]).collect()}
+    for part in (7, 100_000):
+        summary = R.latency_summary(df, F.col("v"), ["mode"], part)
+        assert "percentile" not in summary._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["mode"]: r for r in summary.collect()}
+        assert {m: [repr(r[c]) for c in ("n", *names)] for m, r in got.items()} == {m: [repr(r[c]) for c in ("n", *names)] for m, r in want.items()}
+    assert R.latency_summary(df, F.col("v"), [], 7).first().n == len(rows)
